@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,33 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch that one call of a Python function gets; a single longer row comes alone.
+SLICE = 2 << 20
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows, at = batch.num_rows, 0
+    if not rows:
+        return
+    sizes = np.full(rows, 8, np.int64)
+    for col in batch.columns:
+        if pa.types.is_large_string(col.type) or pa.types.is_string(col.type) or pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
+            sizes += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over each Arrow batch."""
+    """fn over the Arrow batches, cut so that each holds one row or SLICE bytes at most."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in sliced(batch):
+                if (out := fn(part)) is not None:
+                    yield out
 
     return df.mapInArrow(over, schema)
 

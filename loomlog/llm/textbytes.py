@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one pass of the word hash holds in arrays; a cut falls only on white space or between documents.
-PIECE = 4 << 20
+PIECE = 1 << 20
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
