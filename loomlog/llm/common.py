@@ -67,10 +67,15 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over the Arrow batches, cut so that each holds one row or SLICE bytes at most."""
+def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False) -> DataFrame:
+    """fn over the Arrow batches, cut so that each holds one row or SLICE bytes at most.
+
+    With per_task, fn() makes the function once for each task.
+    """
+    given = fn
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = given() if per_task else given
         for batch in batches:
             for part in sliced(batch):
                 if (out := fn(part)) is not None:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import near_dedup, sharding, url_filter
-from loomlog.llm.common import crc_mod, table
+from loomlog.llm import language_id, near_dedup, quality, sharding, url_filter
+from loomlog.llm.common import Scratch, crc_mod, table
 
 
 URL_RULES = (
@@ -19,6 +19,13 @@ URL_RULES = (
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = language_id.fit(docs.where(crc_mod("doc_id", 5) != 0))
+    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -31,5 +38,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_sharding, op4_minhash_near_dedup)}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = Scratch(spark).write(quality.document_statistics(docs), "stats")
+    model = quality.fit(stats.where(crc_mod("doc_id", 3) != 1), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return quality.score(stats, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op6_quality_classifier)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES)}
