@@ -6,10 +6,11 @@ own, so that short documents fill all of them. Bands of ROWS registers give cand
 registers, corrected for chance collisions of the compressed values, drops unlikely candidates; links are
 confirmed on the full shingle sets.
 
-Links inside one group are not all written out. First each document is held against the smallest document it shares
-a band with; then only documents of different components that share a band are compared, in blocks, until
-no such pair is left. The components are those of all links that share a band: at a similarity of 0.8, 32 bands of
-4 registers miss a link with probability (1 - 0.8**4)**32 = 5e-8.
+Links inside one group are not all written out. Documents that share a band with a document not too far from both form a cluster.
+In it, each document is first held against the smallest that it shares a band with. What is then in other
+components than the cluster's main one is compared with all of the cluster, in cells of two blocks of rows of bounded
+number, so that a task's work is bounded and only links that join components leave it. At a similarity of 0.8, 32 bands
+of 4 registers miss a link with probability (1 - 0.8**4)**32 = 5e-8.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import Scratch, arrow_map, components
+from loomlog.llm.common import Scratch, arrow_map, components, sliced
 from loomlog.llm.textbytes import U, column_bytes, fmix, shingles, words
 
 K, ROWS = 128, 4
@@ -83,14 +84,10 @@ def _sketch(n_words: int):
     return run
 
 
-def _likely(threshold: float):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, K) for c in ("sig_a", "sig_b"))
-        est = estimate((a == b).sum(axis=1), batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
-        keep = pa.array(est >= threshold - SLACK)
-        return batch.select(["a", "b"]).filter(keep)
-
-    return run
+def _estimated(batch: pa.RecordBatch) -> pa.RecordBatch:
+    a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, K) for c in ("sig_a", "sig_b"))
+    est = estimate((a == b).sum(axis=1), batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
+    return pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "b", "n_a", "n_b")), pa.array(est)], ["a", "b", "n_a", "n_b", "est"])
 
 
 def _verify(n_words: int, percent: int):
@@ -115,48 +112,68 @@ def _verify(n_words: int, percent: int):
     return run
 
 
-def _across(threshold: float):
-    """Rows (key, block, odd, rep, comp, n, sig), sorted by (key, block): pairs of an odd row and any other row of a different component."""
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that a link between a row of left and a row of right joins, as few as join the same.
+
+    Intersections are products of 0/1 matrices over the shingles that several sets share, a few thousand columns at a time.
+    """
+    size = np.array([len(s) for s in sets])
+    values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, row = column[shared], row[shared]
+    common = np.zeros((len(left), len(right)))
+    if len(column):
+        column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
+        for lo in range(0, int(column[-1]) + 1, 4096):
+            s, e = np.searchsorted(column, [lo, lo + 4096])
+            flags = np.zeros((len(sets), 4096), np.float32)
+            flags[row[s:e], column[s:e] - lo] = 1
+            common += flags[left] @ flags[right].T
+    near = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+    near &= (comp[left][:, None] != comp[right][None, :]) & (size[left] > 0)[:, None] & (size[right] > 0)[None, :]
+    found, root = [], {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = top(int(comp[left[i]])), top(int(comp[right[j]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((min(a, b), max(a, b)))
+    return found
+
+
+def _across(n_words: int, percent: int):
+    """Rows (cluster, i, j, home, odd, comp, text), sorted by (cluster, i, j): rows of home block i against odd rows of block j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def pairs(t: pa.Table) -> pa.RecordBatch | None:
-            key, block = t["key"].to_numpy(), t["block"].to_numpy()
-            group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (block[1:] != block[:-1]))])
-            rep, comp, odd, n = t["rep"].to_numpy(), t["comp"].to_numpy(), t["odd"].to_numpy(zero_copy_only=False), t["n"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, K)
-            out_a, out_b, step = [], [], 1
-            rows = np.arange(len(rep))
-            while len(rows := rows[rows + step < len(rep)]) and len(rows := rows[group[rows] == group[rows + step]]):
-                i = rows[(comp[rows] != comp[rows + step]) & (odd[rows] | odd[rows + step])]
-                j = i + step
-                near = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * round(threshold * 100)) & (rep[i] != rep[j])
-                i, j = i[near], j[near]
-                for lo in range(0, len(i), 4096):
-                    p, q = i[lo : lo + 4096], j[lo : lo + 4096]
-                    good = estimate((sig[p] == sig[q]).sum(axis=1), n[p], n[q]) >= threshold - SLACK
-                    out_a.append(np.minimum(rep[p], rep[q])[good])
-                    out_b.append(np.maximum(rep[p], rep[q])[good])
-                step += 1
-            if not out_a:
+        key, rows = None, []
+
+        def done() -> pa.RecordBatch | None:
+            home, odd = (np.flatnonzero([r[k] for r in rows]) for k in (0, 1))
+            if not len(home) or not len(odd):
                 return None
-            both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            found = linked([r[3] for r in rows], home, odd, np.array([r[2] for r in rows]), percent)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            key, block = t["key"].to_numpy(), t["block"].to_numpy()
-            whole = np.flatnonzero((key != key[-1]) | (block != block[-1]))
-            if len(whole):
-                cut = int(whole[-1]) + 1
-                if (out := pairs(t.slice(0, cut).combine_chunks())) is not None:
-                    yield out
-                held = t.slice(cut).combine_chunks().to_batches()
-        if held and (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
+            for part in sliced(batch):
+                hashes, _, _, at = words(*column_bytes(part["text"]))
+                meta = [part[c].to_pylist() for c in ("cluster", "i", "j", "home", "odd", "comp")]
+                for k, (cluster, i, j, home, odd, comp) in enumerate(zip(*meta, strict=True)):
+                    if key != (cluster, i, j):
+                        if rows and (out := done()) is not None:
+                            yield out
+                        key, rows = (cluster, i, j), []
+                    rows.append((home, odd, comp, shingles(hashes[at[k] : at[k + 1]], n_words)))
+        if rows and (out := done()) is not None:
             yield out
 
     return run
@@ -184,40 +201,42 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = reps.select("rep", F.explode(keys).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.write(bands.join(buckets, "key"), "members")
-    pairs = members.where("rep <> lead").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    pairs = bands.join(buckets, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     sig = lambda side: reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
-
-    def likely(p: DataFrame, name: str) -> DataFrame:
-        sized = p.join(sig("b"), "b").join(sig("a"), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return scratch.write(arrow_map(sized.select("a", "b", "n_a", "n_b", "sig_a", "sig_b"), _likely(threshold), "a long, b long"), name)
-
-    texts = docs.where("doc_id is not null")
-    wanted = scratch.write(members.select("rep").distinct(), "wanted")
-    # where a doc_id has several texts, the text of its class decides
-    texts = scratch.write(texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
-
-    def confirmed(p: DataFrame, name: str) -> DataFrame:
-        right = p.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return scratch.write(arrow_map(both.select("a", "b", "text_a", "text_b"), _verify(n_words, percent), "a long, b long"), name)
-
-    links = confirmed(likely(pairs, "likely1"), "links1").union(tied)
-    comp = components(links, scratch, "cc1")
-    named = members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    named = scratch.write(named, "named")
-    scratch.drop("members")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key", F.col("least").alias("main"))
-    # one component of a bucket is spread over blocks; the rows of all others visit each block
-    left = named.join(mixed, "key").select("key", "rep", "comp", (F.col("comp") != F.col("main")).alias("odd"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = left.withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))))
-    placed = placed.join(reps, "rep").select("key", "block", "odd", "rep", "comp", "n", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
-    more = scratch.write(placed.mapInArrow(_across(threshold), "a long, b long").distinct(), "likely2")
-    links = confirmed(more, "links2")
-    if not links.isEmpty():
-        over = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        second = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch, "cc2")
+    sized = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    pairs = scratch.write(arrow_map(sized, _estimated, "a long, b long, n_a long, n_b long, est double").where(F.col("est") >= threshold / 2), "pairs")
+    cluster = scratch.write(components(pairs, scratch, "near").select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "cluster")
+    # where a doc_id has several texts, any of them can link
+    texts = docs.where("doc_id is not null").join(cluster.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = scratch.write(texts.select(F.col("doc_id").alias("rep"), "text"), "texts")
+
+    # each document against the smallest that it shares a band with
+    likely = pairs.where((F.col("est") >= threshold - SLACK) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    likely = likely.groupBy("b").agg(F.min("a").alias("a"))
+    both = likely.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    links = scratch.write(arrow_map(both.select("a", "b", "text_a", "text_b"), _verify(n_words, percent), "a long, b long"), "links")
+    comp = components(links.union(tied), scratch, "first")
+
+    # then what is left of each cluster: one of its components is its main one; rows of others are odd
+    named = scratch.write(cluster.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp")), "named")
+    main = named.where("rep = cluster").select("cluster", F.col("comp").alias("main"))
+    odd = F.col("comp") != F.col("main")
+    split = named.join(main, "cluster").groupBy("cluster", "main").agg(F.count("*").alias("all"), F.count(F.when(odd, 1)).alias("odds")).where("odds > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    left = named.join(split, "cluster").select("rep", "cluster", "comp", odd.alias("odd"), blocks("all").alias("ni"), blocks("odds").alias("nj"))
+    place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"), F.lit(not home).alias("away"))
+    cells = F.transform(each("nj"), lambda j: cell(place("ni", 1), j, True))
+    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda i: cell(i, place("nj", 2), False)))).otherwise(cells)
+    placed = left.select("rep", "cluster", "comp", F.explode(cells).alias("at"))
+    # a row can be at home and odd in the same cell
+    placed = placed.groupBy("rep", "cluster", "comp", "at.i", "at.j").agg(F.max("at.home").alias("home"), F.max("at.away").alias("odd"))
+    placed = placed.join(texts, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    rest = placed.select("cluster", "i", "j", "home", "odd", "comp", "text").mapInArrow(_across(n_words, percent), "a long, b long")
+    rest = scratch.write(rest.distinct(), "rest")
+    if not rest.isEmpty():
+        second = components(rest, scratch, "second")
         nodes = comp.unionByName(second.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
         comp = scratch.write(nodes.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
     classes = classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("n", "h1", "h2", F.coalesce("comp", "rep").alias("comp"))
