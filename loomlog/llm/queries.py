@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import language_id, near_dedup, quality, sharding, url_filter
+from loomlog.llm import language_id, near_dedup, packing, quality, sharding, tokenfile, url_filter
 from loomlog.llm.common import Scratch, crc_mod, table
 
 
@@ -46,5 +46,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op6_quality_classifier)}
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark).root}/tokens"
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.digests(spark, path)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op6_quality_classifier, op7_token_output, op9_packing)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES)}
