@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import language_id, near_dedup, packing, quality, sharding, tokenfile, url_filter
+from loomlog.llm import embed_dedup, language_id, near_dedup, packing, quality, sharding, tokenfile, url_filter
 from loomlog.llm.common import Scratch, crc_mod, table
 
 
@@ -52,9 +52,13 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(spark, path)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op6_quality_classifier, op7_token_output, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op6_quality_classifier, op7_token_output, op8_embedding_near_dedup, op9_packing)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES)}
