@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import embed_dedup, language_id, near_dedup, packing, quality, sharding, tokenfile, url_filter
+from loomlog.llm import decontaminate, embed_dedup, language_id, near_dedup, packing, quality, sharding, tokenfile, url_filter
 from loomlog.llm.common import Scratch, crc_mod, table
 
 
@@ -38,6 +38,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = Scratch(spark).write(quality.document_statistics(docs), "stats")
@@ -60,5 +64,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op6_quality_classifier, op7_token_output, op8_embedding_near_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op5_decontamination, op6_quality_classifier, op7_token_output, op8_embedding_near_dedup, op9_packing)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES)}

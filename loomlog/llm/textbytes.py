@@ -25,6 +25,11 @@ def fmix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Letters and digits of ASCII, and all other characters' bytes.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
 BYTE_HASH = fmix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 BASE = 0xD6E8FEB86659FD93
 _powers: list[np.ndarray] = []
@@ -69,10 +74,9 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: 64-bit hashes, starts, ends, and the n + 1 word offsets of documents."""
-    space = SPACE[data]
-    starts, ends = runs(~space, off)
+def words(data: np.ndarray, off: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+, or runs of the bytes flagged in part, with A-Z lower-cased: 64-bit hashes, starts, ends, and the n + 1 word offsets of documents."""
+    starts, ends = runs((~SPACE if part is None else part)[data], off)
     hashes = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
