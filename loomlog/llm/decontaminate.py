@@ -1,11 +1,11 @@
 """Documents that hold benchmark items, found by latent semantic retrieval.
 
-Terms are words of letters and digits, hashed to TERMS columns and weighted by their inverse document frequency over all
-documents. A randomised SVD of the passages' TF-IDF matrix A gives the latent space: one pass sums A'(A W) and (A W)'(A W)
-for a random W over all partitions, from which the singular vectors follow. Windows of each document slide in
-steps of STRIDE words; a window about as long as an item, and with at least COSINE to it in the whitened latent space, is a candidate. The
-longest common subsequence of the words decides: either most of the item is there in order, or a good part of it and nearly all of its
-answer, the item's last sentence.
+Terms are words of letters and digits, hashed to TERMS columns and weighted by their inverse frequency in all passages.
+A randomised SVD of the passages' TF-IDF matrix A gives the latent space: each partition sums a sparse random projection S A, in
+which each passage adds to a few of ROWS rows with random signs, and the right singular vectors of the sum span the
+space. Windows of each document slide in steps of STRIDE words; a window about as long as an item, and with at least
+COSINE to it in the latent space, is a candidate. The longest common subsequence of the words decides: either most of the
+item is there in order, or a good part of it and nearly all of its answer, the item's last sentence.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import arrow_map, sliced
-from loomlog.llm.textbytes import ALNUM, U, column_bytes, words
+from loomlog.llm.textbytes import ALNUM, U, column_bytes, fmix, words
 
 TERMS = 1 << 14
-RANK, SPARE, SEED = 64, 8, 5
+RANK, ROWS, EACH = 64, 128, 4
+COMMON = 4
 STRIDE, PASSAGE = 8, 8  # words of a step; steps of a passage of the SVD
-COSINE = 0.5
+COSINE = 0.3
 #: The shares of an item, and of its answer, that must be found in order.
 ITEM, PART, ANSWER = 0.8, 0.6, 0.8
 #: Items that one pass holds; more items take more passes.
@@ -38,49 +39,66 @@ def _terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U(50)).astype(np.int64)
 
 
-def _summed(parts: DataFrame, groups: int = 8) -> np.ndarray | None:
-    """The sum of rows (g, v: float64 as bytes) by way of `groups` partial sums."""
+def _summed(parts: DataFrame, groups: int = 4) -> np.ndarray | None:
+    """The sum of rows (g, v: float32 as bytes) by way of `groups` partial sums."""
 
     def add(t: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(t["v"].iloc[0]).copy()
+        total = np.frombuffer(t["v"].iloc[0], np.float32).astype(float)
         for v in t["v"].iloc[1:]:
-            total += np.frombuffer(v)
-        return pd.DataFrame({"v": [total.tobytes()]})
+            total += np.frombuffer(v, np.float32)
+        return pd.DataFrame({"v": [total.astype(np.float32).tobytes()]})
 
     got = parts.groupBy((F.col("g") % groups).alias("g")).applyInPandas(lambda t: add(t), "v binary").collect()
-    return np.sum([np.frombuffer(bytes(r["v"])) for r in got], axis=0) if got else None
+    return np.sum([np.frombuffer(bytes(r["v"]), np.float32).astype(float) for r in got], axis=0) if got else None
 
 
-def _per_task(fn, size: int):
-    """The sum of fn(hashes, word offsets) over a task's batches, as one row."""
+def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray, total: np.ndarray) -> None:
+    """Adds to total: passages with each term, and the ROWS by TERMS projection. first_word seeds the signs of each document's passages."""
+    size = STRIDE * PASSAGE
+    count = -(-np.diff(at) // size)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    within = (np.arange(len(terms)) - at[doc]) // size
+    key = (np.concatenate([[0], np.cumsum(count)[:-1]])[doc] + within) * TERMS + terms
+    key.sort()
+    seen = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    total[:TERMS] += np.bincount(seen % TERMS, minlength=TERMS)
+    seed = fmix(first_word[doc] + within.astype(U) * U(0x9E3779B97F4A7C15))
+    grid = total[TERMS:]
+    for k in range(EACH):
+        part = seed >> U(16 * k)
+        grid += np.bincount((part & U(ROWS - 1)).astype(np.int64) * TERMS + terms, np.where(part & U(1 << 12), 1.0, -1.0), ROWS * TERMS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        total = np.zeros(size)
-        for batch in batches:
-            for part in sliced(batch):
-                hashes, _, _, at = words(*column_bytes(part["text"]), ALNUM)
-                fn(_terms(hashes), at, total)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
-    return run
+    total = np.zeros(TERMS + ROWS * TERMS)
+    for batch in batches:
+        for part in sliced(batch):
+            hashes, _, _, at = words(*column_bytes(part["text"]), ALNUM)
+            first = np.append(hashes, U(0))[np.minimum(at[:-1], len(hashes))]
+            sketch(_terms(hashes), at, first, total)
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "v"])
 
 
-def _frequencies(terms: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    seen = np.unique(doc * TERMS + terms)
-    total[:TERMS] += np.bincount(seen % TERMS, minlength=TERMS)
-    total[TERMS] += len(at) - 1
+def space_of(total: np.ndarray) -> np.ndarray:
+    """TERMS by RANK: each term's coordinates with its weight. Terms of over COMMON times the median frequency, which say nothing of a passage, weigh 0."""
+    df = total[:TERMS]
+    if not np.any(df):
+        return np.zeros((TERMS, RANK))
+    most = COMMON * max(float(np.median(df)), 1.0)
+    weight = np.maximum(np.log((1 + most) / (1 + df)), 0.0)
+    # right singular vectors by way of the small side
+    m = total[TERMS:].reshape(ROWS, TERMS) * weight
+    w, v = np.linalg.eigh(m @ m.T)
+    kept = np.flatnonzero(w > max(w.max(), 1e-300) * 1e-9)[::-1][:RANK]
+    return weight[:, None] * (m.T @ (v[:, kept] / np.sqrt(w[kept])))
 
 
-def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """A weight for each term: 0 for those of over a quarter of all documents, which say nothing of a passage."""
-    total = _summed(docs.select("text").mapInArrow(_per_task(_frequencies, TERMS + 1), "g long, v binary"))
-    if total is None or not total[TERMS]:
-        return np.zeros(TERMS)
-    n = total[TERMS]
-    return np.where(total[:TERMS] <= max(n / 4, 1), np.log((1 + n) / (1 + total[:TERMS])), 0.0)
+def latent(docs: DataFrame) -> np.ndarray:
+    """The latent space of all passages of all documents."""
+    total = _summed(docs.select("text").mapInArrow(_sketched, "g long, v binary"))
+    return np.zeros((TERMS, RANK)) if total is None else space_of(total)
 
 
 def stepped(terms: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +107,12 @@ def stepped(terms: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.nd
     first = np.concatenate([[0], np.cumsum(steps)])
     padded = np.full(int(first[-1]) * STRIDE, len(table) - 1)
     padded[np.arange(len(terms)) + np.repeat(first[:-1] * STRIDE - at[:-1], np.diff(at))] = terms
-    out = np.empty((int(first[-1]), table.shape[1]), np.float32)
-    for lo in range(0, len(out), 2048):
-        out[lo : lo + 2048] = table[padded[lo * STRIDE : (lo + 2048) * STRIDE]].reshape(-1, STRIDE, table.shape[1]).sum(axis=1)
+    out, k = np.empty((int(first[-1]), table.shape[1]), np.float32), table.shape[1]
+    held, ones = np.empty((256 * STRIDE, k), np.float32), np.ones((1, STRIDE), np.float32)
+    for lo in range(0, len(out), 256):
+        at_once = padded[lo * STRIDE : (lo + 256) * STRIDE]
+        got = np.take(table, at_once, axis=0, out=held[: len(at_once)], mode="clip")
+        np.matmul(ones, got.reshape(-1, STRIDE, k), out=out[lo : lo + 256, None])
     return out, first
 
 
@@ -99,42 +120,6 @@ def _with_zero(table: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
 
-def latent(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """TERMS by RANK: a term's coordinates, its weight included, whitened by the singular values."""
-    k = RANK + SPARE
-    omega = _with_zero(idf[:, None] * np.random.default_rng(SEED).normal(size=(TERMS, k)))
-
-    def sketch(terms: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
-        for lo in range(0, len(terms), SPAN):  # passages may end at a part's end
-            part = terms[lo : lo + SPAN]
-            inside = np.clip(at, lo, lo + len(part)) - lo
-            y, first = stepped(part, inside, omega)
-            if not len(y):
-                continue
-            group = np.repeat(first[:-1], np.diff(first)) + (np.arange(len(y)) - np.repeat(first[:-1], np.diff(first))) // PASSAGE * PASSAGE
-            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            y = np.add.reduceat(y, heads, axis=0)
-            total[TERMS * k :] += (y.T @ y).astype(float).ravel()
-            step = np.repeat(first[:-1], np.diff(inside)) + (np.arange(len(part)) - np.repeat(inside[:-1], np.diff(inside))) // STRIDE
-            passage = np.searchsorted(heads, step, "right") - 1
-            order = np.argsort(part.astype(np.uint16), kind="stable")
-            sums = np.cumsum(y[passage[order]], axis=0, dtype=np.float64)
-            ends = np.flatnonzero(np.concatenate([np.diff(part[order]) > 0, [True]]))
-            table = total[: TERMS * k].reshape(TERMS, k)
-            table[part[order][ends]] += np.diff(sums[ends], axis=0, prepend=0)
-
-    total = _summed(docs.select("text").mapInArrow(_per_task(sketch, TERMS * k + k * k), "g long, v binary"))
-    if total is None or not np.any(total):
-        return np.zeros((TERMS, RANK))
-    z, g = total[: TERMS * k].reshape(TERMS, k) * idf[:, None], total[TERMS * k :].reshape(k, k)
-    w, v = np.linalg.eigh(g)
-    kept = w > w.max() * 1e-9
-    u, s, _ = np.linalg.svd(z @ (v[:, kept] / np.sqrt(w[kept])), full_matrices=False)  # A'A is about (u s)(u s)'
-    good = s > s.max() * 1e-6
-    u, s = u[:, good][:, :RANK], s[good][:RANK]
-    return idf[:, None] * u / s
-
-
 @dataclass(frozen=True)
 class Items:
     """Benchmark items, with their latent coordinates by the number of steps of the window that they are held against."""
@@ -143,6 +128,9 @@ class Items:
     words: list[tuple[int, ...]]
     answer: list[int]  # the answer's number of words, at the end
     classes: dict[int, tuple[np.ndarray, np.ndarray]]
+    needed: np.ndarray  # distinct rare words of an item that a window must hold for PART of it to be a subsequence
+    rare: np.ndarray  # hashes of rare words, ascending
+    holders: list[np.ndarray]  # the items with each of them
 
 
 def _subsequence(item: tuple[int, ...], text: list[int], low: int = 0) -> int:
@@ -184,18 +172,43 @@ def prepare(rows: list[tuple], table: np.ndarray) -> Items:
         classes[steps][1].append(v)
         ids.append(item)
         own.append(tuple(h.tolist()))
-    return Items(ids, own, answer, {s: (np.array(k), np.array(v, np.float32)) for s, (k, v) in classes.items()})
+    # words of weight in the latent space; a subsequence of PART of an item misses 1 - PART of it at most
+    rare = [sorted({w for w in x if zero[_terms(np.array([w], U))[0]].any()}) for x in own]
+    needed = [len(r) - (len(x) - int(np.ceil(PART * len(x)))) for r, x in zip(rare, own, strict=True)]
+    held: dict[int, list[int]] = {}
+    for j, r in enumerate(rare):
+        for w in r:
+            held.setdefault(w, []).append(j)
+    order = sorted(held)
+    return Items(ids, own, answer, {s: (np.array(k), np.array(v, np.float32)) for s, (k, v) in classes.items()}, np.array(needed), np.array(order, U), [np.array(held[w]) for w in order])
 
 
 def _search(items: Items, table: np.ndarray):
     zero = _with_zero(table)
     longest = max(items.classes, default=1)
 
+    flagged = np.zeros(TERMS, bool)
+    flagged[_terms(items.rare)] = True
+    sizes = np.array([len(h) for h in items.holders], np.int64)
+    flat = np.concatenate([*items.holders, np.zeros(0, np.int64)]).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+
     def found(hashes: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple]:
         best: dict[tuple[int, int], tuple] = {}
-        y, first = stepped(_terms(hashes), at, zero)
-        if not len(y):
+        terms = _terms(hashes)
+        y, first = stepped(terms, at, zero)
+        if not len(y) or not len(items.ids):
             return best
+        # where rare words of items stand, by item and place
+        place = np.flatnonzero(flagged[terms])
+        k = np.minimum(np.searchsorted(items.rare, hashes[place]), max(len(items.rare) - 1, 0))
+        if len(place):
+            same = items.rare[k] == hashes[place]
+            place, k = place[same], k[same]
+        n = sizes[k] if len(k) else np.zeros(0, np.int64)
+        item_at = flat[np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(k) else n
+        # each place counts once in a document for the same word: repeats may only raise the bound
+        spots = np.sort(item_at * (len(hashes) + 1) + np.repeat(place, n))
         end = np.repeat(first[1:], np.diff(first))
         doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
         sums = np.concatenate([np.zeros((1, y.shape[1])), np.cumsum(y, axis=0, dtype=np.float64)])
@@ -203,23 +216,32 @@ def _search(items: Items, table: np.ndarray):
         for steps, (which, v) in items.classes.items():
             window = (sums[np.minimum(row + steps, end)] - sums[:-1]).astype(np.float32)
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
-            cos = window @ v.T
-            hit, item = np.nonzero(cos >= COSINE * norm[:, None])
-            for s, k, c in zip(hit.tolist(), item.tolist(), (cos[hit, item] / norm[hit]).tolist(), strict=True):
-                d, j = int(doc[s]), int(which[k])
-                lo = at[d] + max(s - first[d] - 1, 0) * STRIDE
-                hi = min(at[d] + (s - first[d] + steps + 1) * STRIDE, at[d + 1])
-                own = items.words[j]
-                text = hashes[lo:hi].tolist()
-                share = _subsequence(own, text) / len(own)
-                if share < PART:
+            for at_once in range(0, len(window), 8192):
+                cos = window[at_once : at_once + 8192] @ v.T
+                s, item = np.nonzero(cos >= COSINE * norm[at_once : at_once + 8192, None])
+                if not len(s):
                     continue
-                n = items.answer[j]
-                answer = _subsequence(own, text, len(own) - n) / n
-                if (share >= ITEM or answer >= ANSWER) and share > best.get((d, j), (0,))[0]:
-                    best[d, j] = (share, answer, c, int(lo - at[d]), int(hi - at[d]))
+                cosine = cos[s, item] / norm[at_once + s]
+                s, d, j = s + at_once, doc[at_once + s], which[item]
+                lo = at[d] + np.maximum(s - first[d] - 1, 0) * STRIDE
+                hi = np.minimum(at[d] + (s - first[d] + steps + 1) * STRIDE, at[d + 1])
+                base = j * (len(hashes) + 1)
+                enough = np.searchsorted(spots, base + hi) - np.searchsorted(spots, base + lo) >= items.needed[j]
+                _check(hashes, at, best, *(x[enough].tolist() for x in (d, j, lo, hi, cosine)))
         return best
 
+    def _check(hashes, at, best, *columns) -> None:
+        for d, j, lo, hi, c in zip(*columns, strict=True):
+            own = items.words[j]
+            text = hashes[lo:hi].tolist()
+            share = _subsequence(own, text) / len(own)
+            if share < PART or share <= best.get((d, j), (0,))[0]:
+                continue
+            n = items.answer[j]
+            answer = _subsequence(own, text, len(own) - n) / n
+            if share >= ITEM or answer >= ANSWER:
+                best[d, j] = (share, answer, float(c), int(lo - at[d]), int(hi - at[d]))
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         hashes, _, _, at = words(*column_bytes(batch["text"]), ALNUM)
         best: dict[tuple[int, int], tuple] = {}
@@ -257,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator()]
     if not rows:
         return spark.createDataFrame([], schema)
-    table = latent(docs, inverse_frequency(docs))
+    table = latent(docs)
     out = None
     for lo in range(0, len(rows), ITEMS):
         given = spark.sparkContext.broadcast((prepare(rows[lo : lo + ITEMS], table), table.astype(np.float32)))
