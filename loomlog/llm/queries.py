@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import decontaminate, embed_dedup, language_id, near_dedup, packing, quality, sharding, tokenfile, url_filter
+from loomlog.llm import decontaminate, embed_dedup, language_id, licences, near_dedup, packing, quality, sharding, tokenfile, url_filter
 from loomlog.llm.common import Scratch, crc_mod, table
 
 
@@ -64,5 +64,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op5_decontamination, op6_quality_classifier, op7_token_output, op8_embedding_near_dedup, op9_packing)}
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a document is its source and, as directories of a hundred, its number."""
+    number = F.col("doc_id").cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), number)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return licences.scan(docs)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op5_decontamination, op6_quality_classifier, op7_token_output, op8_embedding_near_dedup, op9_packing, op10_licence_scan)}
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES)}
