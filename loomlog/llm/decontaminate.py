@@ -23,10 +23,10 @@ from loomlog.llm.common import arrow_map, sliced
 from loomlog.llm.textbytes import ALNUM, U, column_bytes, fmix, words
 
 TERMS = 1 << 14
-RANK, ROWS, EACH = 64, 128, 4
+RANK, ROWS, EACH = 96, 128, 4
 COMMON = 4
 STRIDE, PASSAGE = 8, 8  # words of a step; steps of a passage of the SVD
-COSINE = 0.3
+COSINE = 0.4
 #: The shares of an item, and of its answer, that must be found in order.
 ITEM, PART, ANSWER = 0.8, 0.6, 0.8
 #: Items that one pass holds; more items take more passes.
