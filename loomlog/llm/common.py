@@ -29,11 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch at most: batches lie outside the heap, on the JVM's side and in Python, several at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows for each Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder; they outlive lost executors and cut lineage."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/loomlog-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +85,7 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False)
     With per_task, fn() makes the function once for each task.
     """
     given = fn
+    small_batches(df.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = given() if per_task else given
