@@ -31,16 +31,26 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that are plainly another language than lang says; without a lang any language will do."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    named = language_id.predict(docs, model, tuple(docs.columns))
-    wrong = (F.col("lang_pred") == language_id.UND) | (F.col("lang").isNotNull() & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= LANGUAGE))
-    return named.where(~wrong).select(docs.columns)
+    # each row as one column, so that no name of it clashes with a result
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    named = language_id.predict(rows, model, ("row",))
+    wrong = (F.col("lang_pred") == language_id.UND) | (F.col("row.lang").isNotNull() & (F.col("lang_pred") != F.col("row.lang")) & (F.col("score") >= LANGUAGE))
+    return named.where(~wrong).select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that links of 0.8 or more on five-word shingles join, and of rows that repeat a doc_id one."""
+    """Keeps the document with the smallest doc_id of each group that links of 0.8 or more on five-word shingles join.
+
+    Of rows that repeat a kept doc_id one stays; rows without a doc_id stay, as nothing names their group.
+    """
     groups = near_dedup.near_duplicates(docs, n_words=5, percent=80)
     kept = groups.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    out = docs.join(kept, "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

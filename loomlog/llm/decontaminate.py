@@ -10,6 +10,7 @@ item is there in order, or a good part of it and nearly all of its answer, the i
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ ITEM, PART, ANSWER = 0.8, 0.6, 0.8
 #: Items that one pass holds; more items take more passes.
 ITEMS = 4096
 #: Words that are looked at together; a longer document is taken in parts that overlap by the longest window.
-SPAN = 1 << 17
+SPAN = 1 << 19
 
 
 def _terms(hashes: np.ndarray) -> np.ndarray:
@@ -63,10 +64,9 @@ def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray, total: np.
     seen = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     total[:TERMS] += np.bincount(seen % TERMS, minlength=TERMS)
     seed = fmix(first_word[doc] + within.astype(U) * U(0x9E3779B97F4A7C15))
-    grid = total[TERMS:]
-    for k in range(EACH):
-        part = seed >> U(16 * k)
-        grid += np.bincount((part & U(ROWS - 1)).astype(np.int64) * TERMS + terms, np.where(part & U(1 << 12), 1.0, -1.0), ROWS * TERMS)
+    rows = [(seed >> U(16 * k) & U(ROWS - 1)).astype(np.int64) * TERMS + terms for k in range(EACH)]
+    signs = [np.where(seed >> U(16 * k + 12) & U(1), 1.0, -1.0) for k in range(EACH)]
+    total[TERMS:] += np.bincount(np.concatenate(rows), np.concatenate(signs), ROWS * TERMS)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def space_of(total: np.ndarray) -> np.ndarray:
     df = total[:TERMS]
     if not np.any(df):
         return np.zeros((TERMS, RANK))
-    most = COMMON * max(float(np.median(df)), 1.0)
+    most = COMMON * float(np.median(df[df > 0]))
     weight = np.maximum(np.log((1 + most) / (1 + df)), 0.0)
     # right singular vectors by way of the small side
     m = total[TERMS:].reshape(ROWS, TERMS) * weight
@@ -101,9 +101,10 @@ def latent(docs: DataFrame) -> np.ndarray:
     return np.zeros((TERMS, RANK)) if total is None else space_of(total)
 
 
-def stepped(terms: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of table rows over each STRIDE words of each document, and the n + 1 step offsets; the last row of table is zero."""
+def stepped(terms: np.ndarray, at: np.ndarray, table: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of table rows over each STRIDE words of each document, with `gap` rows of zeros after it, and the n + 1 step offsets; the last row of table is zero."""
     steps = -(-np.diff(at) // STRIDE)
+    steps[steps > 0] += gap
     first = np.concatenate([[0], np.cumsum(steps)])
     padded = np.full(int(first[-1]) * STRIDE, len(table) - 1)
     padded[np.arange(len(terms)) + np.repeat(first[:-1] * STRIDE - at[:-1], np.diff(at))] = terms
@@ -192,11 +193,12 @@ def _search(items: Items, table: np.ndarray):
     sizes = np.array([len(h) for h in items.holders], np.int64)
     flat = np.concatenate([*items.holders, np.zeros(0, np.int64)]).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
+    counts = [Counter(w) for w in items.words]
 
     def found(hashes: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple]:
         best: dict[tuple[int, int], tuple] = {}
         terms = _terms(hashes)
-        y, first = stepped(terms, at, zero)
+        y, first = stepped(terms, at, zero, longest)
         if not len(y) or not len(items.ids):
             return best
         # where rare words of items stand, by item and place
@@ -209,19 +211,22 @@ def _search(items: Items, table: np.ndarray):
         item_at = flat[np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(k) else n
         # each place counts once in a document for the same word: repeats may only raise the bound
         spots = np.sort(item_at * (len(hashes) + 1) + np.repeat(place, n))
-        end = np.repeat(first[1:], np.diff(first))
         doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        sums = np.concatenate([np.zeros((1, y.shape[1])), np.cumsum(y, axis=0, dtype=np.float64)])
-        row = np.arange(len(y))
-        for steps, (which, v) in items.classes.items():
-            window = (sums[np.minimum(row + steps, end)] - sums[:-1]).astype(np.float32)
-            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
-            for at_once in range(0, len(window), 8192):
-                cos = window[at_once : at_once + 8192] @ v.T
-                s, item = np.nonzero(cos >= COSINE * norm[at_once : at_once + 8192, None])
-                if not len(s):
+        for at_once in range(0, len(y) - longest, 4096):
+            window = y[at_once : min(at_once + 4096, len(y) - longest)].copy()
+            for steps in range(1, longest + 1):
+                if steps > 1:
+                    window += y[at_once + steps - 1 : at_once + steps - 1 + len(window)]
+                if steps not in items.classes:
                     continue
-                cosine = cos[s, item] / norm[at_once + s]
+                which, v = items.classes[steps]
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
+                cos = (window / norm[:, None]) @ v.T
+                hit = np.flatnonzero(cos >= COSINE)
+                if not len(hit):
+                    continue
+                s, item = np.divmod(hit, len(which))
+                cosine = cos.reshape(-1)[hit]
                 s, d, j = s + at_once, doc[at_once + s], which[item]
                 lo = at[d] + np.maximum(s - first[d] - 1, 0) * STRIDE
                 hi = np.minimum(at[d] + (s - first[d] + steps + 1) * STRIDE, at[d + 1])
@@ -232,10 +237,15 @@ def _search(items: Items, table: np.ndarray):
 
     def _check(hashes, at, best, *columns) -> None:
         for d, j, lo, hi, c in zip(*columns, strict=True):
-            own = items.words[j]
+            own, before = items.words[j], best.get((d, j), (0,))[0]
             text = hashes[lo:hi].tolist()
+            times = counts[j]
+            # words of the item that the window has at all bound the subsequence
+            bound = sum(map(times.__getitem__, times.keys() & text)) / len(own)
+            if bound < PART or bound <= before:
+                continue
             share = _subsequence(own, text) / len(own)
-            if share < PART or share <= best.get((d, j), (0,))[0]:
+            if share < PART or share <= before:
                 continue
             n = items.answer[j]
             answer = _subsequence(own, text, len(own) - n) / n
