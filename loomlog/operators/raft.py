@@ -23,7 +23,8 @@ def commit_index(acks: DataFrame, terms: DataFrame) -> DataFrame:
 
 def effective(records: DataFrame, base: int) -> DataFrame:
     """records (node, rec_no, idx, ...): those over the base that no later record of an index at most theirs cuts off."""
-    later = Window.partitionBy("node").orderBy("rec_no").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that the frame grows row by row
+    later = Window.partitionBy("node").orderBy(F.desc("rec_no")).rowsBetween(Window.unboundedPreceding, -1)
     live = records.where(F.col("idx") > base).withColumn("cut", F.min("idx").over(later))
     return live.where(F.col("cut").isNull() | (F.col("cut") > F.col("idx"))).drop("cut")
 
