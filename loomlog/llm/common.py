@@ -97,6 +97,48 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False)
     return df.mapInArrow(over, schema)
 
 
+#: Partial sums that one task adds up.
+FAN_IN = 16
+
+
+def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of part(batch) over all batches as float64; None if no batch gives anything.
+
+    Each task adds up its batches and writes one row, as float32 if part gives float32. Rows are then added FAN_IN at a time in
+    rounds, so that no task and not the driver holds more, whatever the number of tasks.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total, kind = None, None
+        for batch in batches:
+            for piece in sliced(batch):
+                if (v := part(piece)) is not None:
+                    kind = v.dtype
+                    total = v.astype(float) if total is None else np.add(total, v, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([kind.str]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["g", "kind", "v"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, g, kind = None, 0, ""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g, kind = batch["g"][i].as_py(), batch["kind"][i].as_py()
+                v = np.frombuffer(batch["v"][i].as_buffer(), kind)
+                total = v.astype(float) if total is None else np.add(total, v, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([g // FAN_IN], pa.int64()), pa.array([kind]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["g", "kind", "v"])
+
+    schema, left = "g long, kind string, v binary", df.rdd.getNumPartitions()
+    rows = df.mapInArrow(first, schema)
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        rows = rows.repartition(left, F.floor(F.col("g") / FAN_IN)).mapInArrow(again, schema)
+    got = rows.collect()
+    return np.sum([np.frombuffer(bytes(r["v"]), r["kind"]).astype(float) for r in got], axis=0) if got else None
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, mod n."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
@@ -132,4 +174,4 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
     return comp
 
 
-__all__ = ["Scratch", "arrow_map", "components", "crc_mod", "shared_dir", "table"]
+__all__ = ["Scratch", "arrow_map", "components", "crc_mod", "shared_dir", "sliced", "summed", "table"]

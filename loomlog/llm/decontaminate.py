@@ -11,16 +11,14 @@ item is there in order, or a good part of it and nearly all of its answer, the i
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import arrow_map, sliced
+from loomlog.llm.common import arrow_map, summed
 from loomlog.llm.textbytes import ALNUM, U, column_bytes, fmix, words
 
 TERMS = 1 << 14
@@ -40,21 +38,8 @@ def _terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U(50)).astype(np.int64)
 
 
-def _summed(parts: DataFrame, groups: int = 4) -> np.ndarray | None:
-    """The sum of rows (g, v: float32 as bytes) by way of `groups` partial sums."""
-
-    def add(t: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(t["v"].iloc[0], np.float32).astype(float)
-        for v in t["v"].iloc[1:]:
-            total += np.frombuffer(v, np.float32)
-        return pd.DataFrame({"v": [total.astype(np.float32).tobytes()]})
-
-    got = parts.groupBy((F.col("g") % groups).alias("g")).applyInPandas(lambda t: add(t), "v binary").collect()
-    return np.sum([np.frombuffer(bytes(r["v"]), np.float32).astype(float) for r in got], axis=0) if got else None
-
-
-def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray, total: np.ndarray) -> None:
-    """Adds to total: passages with each term, and the ROWS by TERMS projection. first_word seeds the signs of each document's passages."""
+def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray) -> np.ndarray:
+    """Passages with each term, and the ROWS by TERMS projection. first_word seeds the signs of each document's passages."""
     size = STRIDE * PASSAGE
     count = -(-np.diff(at) // size)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -62,23 +47,16 @@ def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray, total: np.
     key = (np.concatenate([[0], np.cumsum(count)[:-1]])[doc] + within) * TERMS + terms
     key.sort()
     seen = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    total[:TERMS] += np.bincount(seen % TERMS, minlength=TERMS)
+    frequency = np.bincount(seen % TERMS, minlength=TERMS)
     seed = fmix(first_word[doc] + within.astype(U) * U(0x9E3779B97F4A7C15))
     rows = [(seed >> U(16 * k) & U(ROWS - 1)).astype(np.int64) * TERMS + terms for k in range(EACH)]
     signs = [np.where(seed >> U(16 * k + 12) & U(1), 1.0, -1.0) for k in range(EACH)]
-    total[TERMS:] += np.bincount(np.concatenate(rows), np.concatenate(signs), ROWS * TERMS)
-
+    return np.concatenate([frequency, np.bincount(np.concatenate(rows), np.concatenate(signs), ROWS * TERMS)]).astype(np.float32)
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
 
-    total = np.zeros(TERMS + ROWS * TERMS)
-    for batch in batches:
-        for part in sliced(batch):
-            hashes, _, _, at = words(*column_bytes(part["text"]), ALNUM)
-            first = np.append(hashes, U(0))[np.minimum(at[:-1], len(hashes))]
-            sketch(_terms(hashes), at, first, total)
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "v"])
+def _sketched(batch: pa.RecordBatch) -> np.ndarray:
+    hashes, _, _, at = words(*column_bytes(batch["text"]), ALNUM)
+    return sketch(_terms(hashes), at, np.append(hashes, U(0))[np.minimum(at[:-1], len(hashes))])
 
 
 def space_of(total: np.ndarray) -> np.ndarray:
@@ -97,7 +75,7 @@ def space_of(total: np.ndarray) -> np.ndarray:
 
 def latent(docs: DataFrame) -> np.ndarray:
     """The latent space of all passages of all documents."""
-    total = _summed(docs.select("text").mapInArrow(_sketched, "g long, v binary"))
+    total = summed(docs.select("text"), _sketched)
     return np.zeros((TERMS, RANK)) if total is None else space_of(total)
 
 

@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import Scratch, arrow_map
+from loomlog.llm.common import Scratch, arrow_map, summed
 from loomlog.llm.textbytes import SPACE, column_bytes, runs, words
 
 FEATURES, SEED, RIDGE = 256, 20_011, 1e-4
@@ -129,27 +128,6 @@ def pool_adjacent(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, v) for v, _, n in blocks]) if blocks else np.zeros(0)
 
 
-def _summed(rows: DataFrame, part, groups: int = 8) -> np.ndarray | None:
-    """The sum over partitions of part(batch) as float64 vectors, in two steps so that the driver gets `groups` rows at most."""
-
-    def partial(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                v = part(batch)
-                total = v if total is None else total + v
-        if total is not None:
-            from pyspark import TaskContext
-
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups]), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
-
-    def add(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"v": [np.sum([np.frombuffer(v) for v in t["v"]], axis=0).tobytes()]})
-
-    got = rows.mapInArrow(partial, "g long, v binary").groupBy("g").applyInPandas(add, "v binary").collect()
-    return np.sum([np.frombuffer(bytes(r["v"])) for r in got], axis=0) if got else None
-
-
 def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     """From stats (doc_id, stats) and labels (doc_id, quality 0 or 1), on all rows whose ids meet. Labels of an id that differ count by their mean."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
@@ -160,7 +138,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
         x = _matrix(batch["stats"])
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    m = _summed(rows, moments)
+    m = summed(rows, moments)
     if m is None:
         return QualityModel(np.zeros(d), np.ones(d), np.zeros(0), np.zeros(0), np.zeros(0))
     mean = m[1 : d + 1] / m[0]
@@ -171,10 +149,10 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
         z, y = fourier(_matrix(batch["stats"]), mean, scale), batch["y"].to_numpy()
         return np.concatenate([(z.T @ z).ravel(), z.T @ y])
 
-    total = _summed(rows.where(F.col("fold") != CALIBRATE), normal)
+    total = summed(rows.where(F.col("fold") != CALIBRATE), normal)
     held = rows.where(F.col("fold") == CALIBRATE)
     if total is None:  # a handful of rows, all of the calibrating fold
-        total, held = _summed(rows, normal), rows
+        total, held = summed(rows, normal), rows
     k = FEATURES + d + 1
     weights = np.linalg.solve(total[: k * k].reshape(k, k) + RIDGE * m[0] / k * np.eye(k), total[k * k :])
 

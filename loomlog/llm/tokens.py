@@ -8,6 +8,7 @@ characters that aren't ASCII or Latin-1 letters, are encoded whole.
 
 from __future__ import annotations
 
+import os
 from array import array
 from functools import lru_cache
 
@@ -53,6 +54,8 @@ class Encoder:
     """Each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        # an executor's cores have tasks of their own; the library reads this at each batch
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,7 +75,8 @@ class Encoder:
         out = [b""] * len(whole)
         for i, ids in zip(kept, self._library([raw[off[i] : off[i + 1]].decode() for i in kept]) if len(kept) else [], strict=True):
             out[i] = ids
-        cut = [(i, text[at[i] : at[i + 1]].split(b" ")) for i in np.flatnonzero(~whole & (np.diff(off) > 0))]
+        spans, kept = at.tolist(), (~whole & (np.diff(off) > 0)).nonzero()[0].tolist()
+        cut = [(i, text[spans[i] : spans[i + 1]].split(b" ")) for i in kept]
         if len(self.rest) > CACHE_WORDS:
             self.first, self.rest, self.old = {}, {}, self.rest
         firsts = list({w[0] for _, w in cut}.difference(self.first))

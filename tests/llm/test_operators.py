@@ -455,3 +455,11 @@ def test_oracles(spark, name):
     cols = [x[0] for x in con.description]
     got = QUERIES[name](spark, str(SF)).select(*cols).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_sums_of_many_tasks(spark):
+    from loomlog.llm.common import summed
+
+    part = lambda b: np.array([len(b), b["id"].to_numpy().sum()], np.float32)
+    assert summed(spark.range(0, 4000, 1, 300).select("id"), part).tolist() == [4000, 7998000]
+    assert summed(spark.range(0).select("id"), part) is None
