@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPEN = (1 << 63) - 1  # the return of an operation that never came back
@@ -88,3 +88,12 @@ def prefix_check(written: DataFrame, recovered: DataFrame) -> DataFrame:
     out = both.groupBy("run").agg(F.count("data").alias("n"), F.count("got").alias("recovered"), F.count(F.when(F.col("acked"), 1)).alias("acked"), F.count(F.when(F.col("got").isNotNull() & ~F.col("got").eqNullSafe(F.col("data")), 1)).alias("wrong"), F.max(F.when(F.col("got").isNotNull(), F.col("pos"))).alias("top"))
     ok = (F.col("wrong") == 0) & (F.col("recovered") >= F.col("acked")) & (F.col("recovered") <= F.col("n")) & (F.coalesce("top", F.lit(-1)) + 1 == F.col("recovered"))
     return out.select("run", "n", "recovered", "acked", ok.alias("valid"))
+
+
+def workload(spark: SparkSession, clients: int, ops: int, keys: int, seed: int) -> DataFrame:
+    """(client, n, op, key, value): half reads, a fifth puts, the rest appends of [client.n], the same for a seed and partitioning."""
+    rows = spark.range(0, clients * ops, 1, max(1, clients)).withColumn("r", F.rand(seed)).withColumn("k", F.floor(F.rand(seed + 1) * keys))
+    client, n = F.floor(F.col("id") / ops), F.col("id") % ops
+    op = F.when(F.col("r") < 0.5, "get").when(F.col("r") < 0.7, "put").otherwise("append")
+    value = F.when(F.col("r") >= 0.5, F.concat(F.lit("["), client, F.lit("."), n, F.lit("]")))
+    return rows.select(client.cast("int").alias("client"), n.cast("int").alias("n"), op.alias("op"), F.concat(F.lit("k"), F.col("k")).alias("key"), value.alias("value"))

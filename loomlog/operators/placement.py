@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -133,3 +133,17 @@ def install(target: DataFrame, image: DataFrame, shard: int) -> DataFrame:
 def delete(state: DataFrame, offered: DataFrame) -> DataFrame:
     """state without the shards of offered (shard)."""
     return state.join(F.broadcast(offered.select("shard").distinct()), "shard", "left_anti")
+
+
+def next_state(state: Column, event: Column) -> Column:
+    """A shard's state after install, delete or cleaned; an event that doesn't fit the state changes nothing, so that it may repeat."""
+    step = {("install", PULLING): CLEANING, ("cleaned", CLEANING): SERVING, ("delete", OFFERING): ABSENT}
+    out = state
+    for (name, before), after in step.items():
+        out = F.when((event == name) & (state == before), F.lit(after)).otherwise(out)
+    return out
+
+
+def missing_groups(wanted: DataFrame, configs: DataFrame) -> DataFrame:
+    """Groups (gid) of wanted that the latest configuration has no shard of: those that are still to join."""
+    return wanted.select("gid").distinct().join(query(configs, -1).select("gid"), "gid", "left_anti")

@@ -305,6 +305,22 @@ def cfg_settled(spark, d):
     return placement.settled(states, 5)
 
 
+@query(
+    """WITH s AS (SELECT event_id % 5 AS state, CASE event_id // 5 % 3 WHEN 0 THEN 'install' WHEN 1 THEN 'cleaned' ELSE 'delete' END AS event FROM events)
+SELECT state, event, CASE WHEN event = 'install' AND state = 2 THEN 4 WHEN event = 'cleaned' AND state = 4 THEN 1 WHEN event = 'delete' AND state = 3 THEN 0 ELSE state END AS after, count(*) AS n FROM s GROUP BY ALL"""
+)
+def shard_states(spark, d):
+    e = F.col("event_id")
+    event = F.element_at(F.array(F.lit("install"), F.lit("cleaned"), F.lit("delete")), (F.floor(e / 5) % 3 + 1).cast("int"))
+    rows = table(spark, d, "events").select((e % 5).alias("state"), event.alias("event"))
+    return rows.withColumn("after", placement.next_state(F.col("state"), F.col("event"))).groupBy("state", "event", "after").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_values(CONFIGS[-1:])} SELECT range AS gid FROM range(1, 9) WHERE range NOT IN (SELECT gid FROM cfg)")
+def bootstrap_groups(spark, d):
+    return placement.missing_groups(spark.range(1, 9).withColumnRenamed("id", "gid"), placement.table(spark, CONFIGS))
+
+
 EXPORT = "SELECT 'data' AS kind, key, value FROM st WHERE shard = {0} UNION ALL SELECT 'dedup', CAST(client_id AS VARCHAR), CAST(max(seq) AS VARCHAR) FROM acc WHERE shard = {0} GROUP BY client_id"
 
 

@@ -138,3 +138,9 @@ def test_illegal_histories_are_found():
 def test_leader_changes_count_none_as_a_state(spark):
     rows = [(0, t, x) for t, x in enumerate([1, 1, -1, 1, 2, -1, -1])]
     assert measure.leader_changes(spark.createDataFrame(rows, "g int, t int, leader int"), "g", "t").head()["changes"] == 3
+
+
+def test_workloads_repeat_for_a_seed(spark):
+    a, b = (sorted(map(str, history.workload(spark, 5, 200, 3, 7).collect())) for _ in range(2))
+    ops = history.workload(spark, 5, 200, 3, 7).groupBy("op").count().collect()
+    assert a == b and len(a) == 1000 and 400 < {r["op"]: r["count"] for r in ops}["get"] < 600
