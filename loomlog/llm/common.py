@@ -61,7 +61,7 @@ class Scratch:
 
 
 #: Bytes of a batch that one call of a Python function gets; a single longer row comes alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -93,6 +93,8 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False)
             for part in sliced(batch):
                 if (out := fn(part)) is not None:
                     yield out
+        # workers live on between tasks, and so would what their pools hold
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(over, schema)
 
@@ -101,42 +103,44 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False)
 FAN_IN = 16
 
 
-def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray | None]) -> np.ndarray | None:
-    """The sum of part(batch) over all batches as float64; None if no batch gives anything.
+def summed(df: DataFrame, part: Callable[[pa.RecordBatch, np.ndarray], None], size: int, kind: str = "<f8") -> np.ndarray | None:
+    """What part(batch, total) adds to a float64 total of `size` over all batches; None without rows.
 
-    Each task adds up its batches and writes one row, as float32 if part gives float32. Rows are then added FAN_IN at a time in
+    Each task adds up its batches and writes one row of the given kind. Rows are then added about FAN_IN at a time in
     rounds, so that no task and not the driver holds more, whatever the number of tasks.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, kind = None, None
+        total = None
         for batch in batches:
             for piece in sliced(batch):
-                if (v := part(piece)) is not None:
-                    kind = v.dtype
-                    total = v.astype(float) if total is None else np.add(total, v, out=total)
+                total = np.zeros(size) if total is None else total
+                part(piece, total)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([kind.str]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["g", "kind", "v"])
+            yield row(TaskContext.get().partitionId(), total)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, g, kind = None, 0, ""
+        total, g = None, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                g, kind = batch["g"][i].as_py(), batch["kind"][i].as_py()
-                v = np.frombuffer(batch["v"][i].as_buffer(), kind)
-                total = v.astype(float) if total is None else np.add(total, v, out=total)
+                total = np.zeros(size) if total is None else total
+                g = batch["g"][i].as_py()
+                total += np.frombuffer(batch["v"][i].as_buffer(), kind)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([g // FAN_IN], pa.int64()), pa.array([kind]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["g", "kind", "v"])
+            yield row(g // FAN_IN, total)
 
-    schema, left = "g long, kind string, v binary", df.rdd.getNumPartitions()
+    def row(g: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([total.astype(kind).tobytes()], pa.binary())], ["g", "v"])
+
+    schema, left = "g long, v binary", df.rdd.getNumPartitions()
     rows = df.mapInArrow(first, schema)
-    while left > FAN_IN:
+    while left > 2:
         left = -(-left // FAN_IN)
         rows = rows.repartition(left, F.floor(F.col("g") / FAN_IN)).mapInArrow(again, schema)
     got = rows.collect()
-    return np.sum([np.frombuffer(bytes(r["v"]), r["kind"]).astype(float) for r in got], axis=0) if got else None
+    return np.sum([np.frombuffer(bytes(r["v"]), kind).astype(float) for r in got], axis=0) if got else None
 
 
 def crc_mod(doc_id, n: int):

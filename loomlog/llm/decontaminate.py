@@ -38,8 +38,8 @@ def _terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U(50)).astype(np.int64)
 
 
-def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray) -> np.ndarray:
-    """Passages with each term, and the ROWS by TERMS projection. first_word seeds the signs of each document's passages."""
+def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray, total: np.ndarray) -> None:
+    """Adds to total: passages with each term, and the ROWS by TERMS projection. first_word seeds the signs of each document's passages."""
     size = STRIDE * PASSAGE
     count = -(-np.diff(at) // size)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -47,16 +47,16 @@ def sketch(terms: np.ndarray, at: np.ndarray, first_word: np.ndarray) -> np.ndar
     key = (np.concatenate([[0], np.cumsum(count)[:-1]])[doc] + within) * TERMS + terms
     key.sort()
     seen = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    frequency = np.bincount(seen % TERMS, minlength=TERMS)
+    total[:TERMS] += np.bincount(seen % TERMS, minlength=TERMS)
     seed = fmix(first_word[doc] + within.astype(U) * U(0x9E3779B97F4A7C15))
-    rows = [(seed >> U(16 * k) & U(ROWS - 1)).astype(np.int64) * TERMS + terms for k in range(EACH)]
-    signs = [np.where(seed >> U(16 * k + 12) & U(1), 1.0, -1.0) for k in range(EACH)]
-    return np.concatenate([frequency, np.bincount(np.concatenate(rows), np.concatenate(signs), ROWS * TERMS)]).astype(np.float32)
+    for k in range(EACH):
+        row = (seed >> U(16 * k) & U(ROWS - 1)).astype(np.int64) + 1
+        np.add.at(total, row * TERMS + terms, np.where(seed >> U(16 * k + 12) & U(1), 1.0, -1.0))
 
 
-def _sketched(batch: pa.RecordBatch) -> np.ndarray:
+def _sketched(batch: pa.RecordBatch, total: np.ndarray) -> None:
     hashes, _, _, at = words(*column_bytes(batch["text"]), ALNUM)
-    return sketch(_terms(hashes), at, np.append(hashes, U(0))[np.minimum(at[:-1], len(hashes))])
+    sketch(_terms(hashes), at, np.append(hashes, U(0))[np.minimum(at[:-1], len(hashes))], total)
 
 
 def space_of(total: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ def space_of(total: np.ndarray) -> np.ndarray:
 
 def latent(docs: DataFrame) -> np.ndarray:
     """The latent space of all passages of all documents."""
-    total = summed(docs.select("text"), _sketched)
+    total = summed(docs.select("text"), _sketched, (1 + ROWS) * TERMS, "<f4")
     return np.zeros((TERMS, RANK)) if total is None else space_of(total)
 
 
@@ -260,11 +260,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window that holds most of it. Null and empty texts hold nothing, and items without a word are held by nothing. Rows that
     repeat a doc_id are each looked at. Other columns are ignored. With no documents or items there are no rows.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    fold = F.lower(F.col("text").cast("string")).alias("text")  # of all alphabets
+    docs = docs.select("doc_id", fold)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double, answer double, cosine double, first_word long, last_word long"
     spark = docs.sparkSession
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator()]
+    rows = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), fold).toLocalIterator()]
     if not rows:
         return spark.createDataFrame([], schema)
     table = latent(docs)

@@ -134,26 +134,26 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     rows = Scratch(stats.sparkSession).write(stats.join(labels, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("fold")), "labelled")
     d = len(NAMES)
 
-    def moments(batch: pa.RecordBatch) -> np.ndarray:
+    def moments(batch: pa.RecordBatch, total: np.ndarray) -> None:
         x = _matrix(batch["stats"])
-        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+        total += np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    m = summed(rows, moments)
+    m = summed(rows, moments, 1 + 2 * d)
     if m is None:
         return QualityModel(np.zeros(d), np.ones(d), np.zeros(0), np.zeros(0), np.zeros(0))
     mean = m[1 : d + 1] / m[0]
     scale = np.sqrt(np.maximum(m[d + 1 :] / m[0] - mean**2, 0))
     scale = np.where(scale > 1e-6, scale, 1.0)
 
-    def normal(batch: pa.RecordBatch) -> np.ndarray:
+    def normal(batch: pa.RecordBatch, total: np.ndarray) -> None:
         z, y = fourier(_matrix(batch["stats"]), mean, scale), batch["y"].to_numpy()
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        total += np.concatenate([(z.T @ z).ravel(), z.T @ y])
 
-    total = summed(rows.where(F.col("fold") != CALIBRATE), normal)
+    k = FEATURES + d + 1
+    total = summed(rows.where(F.col("fold") != CALIBRATE), normal, k * k + k)
     held = rows.where(F.col("fold") == CALIBRATE)
     if total is None:  # a handful of rows, all of the calibrating fold
-        total, held = summed(rows, normal), rows
-    k = FEATURES + d + 1
+        total, held = summed(rows, normal, k * k + k), rows
     weights = np.linalg.solve(total[: k * k].reshape(k, k) + RIDGE * m[0] / k * np.eye(k), total[k * k :])
 
     def binned(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -19,13 +19,14 @@ from loomlog.llm.textbytes import SPACE
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Cached words of a Python worker before the words used since then replace the older ones, and the longest that is kept.
-CACHE_WORDS, CACHE_BYTES = 600_000, 40
+CACHE_WORDS, CACHE_BYTES = 250_000, 12
 WORD, SIGN, BLANK, WHITE, APOSTROPHE, RARE = range(6)
 _kind = np.full(256, SIGN, np.uint8)
 _kind[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = WORD
 _kind[np.flatnonzero(SPACE)] = WHITE
 _kind[0x20], _kind[0x27] = BLANK, APOSTROPHE
 _kind[[0, *range(0x1C, 0x20), 0x7F, 0xC0, 0xC1, 0xC2, *range(0xC4, 0x100)]] = RARE
+HEAD = b"\0\0"  # stands for a text's first cut, which has no space before it; texts with this byte stay whole
 JOIN = 0  # a cut that begins with this byte follows the cut before it without a space
 
 
@@ -61,7 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.first: dict[bytes, bytes] = {}
-        self.rest: dict[bytes, bytes] = {}
+        self.rest: dict[bytes, bytes] = {HEAD: b""}
         self.old: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -78,21 +79,31 @@ class Encoder:
         spans, kept = at.tolist(), (~whole & (np.diff(off) > 0)).nonzero()[0].tolist()
         cut = [(i, text[spans[i] : spans[i + 1]].split(b" ")) for i in kept]
         if len(self.rest) > CACHE_WORDS:
-            self.first, self.rest, self.old = {}, {}, self.rest
-        firsts = list({w[0] for _, w in cut}.difference(self.first))
-        self.first.update(zip(firsts, self._library([w.decode() for w in firsts]), strict=True))
-        new = set().union(*(w for _, w in cut)).difference(self.rest)
-        known = new.intersection(self.old)
-        self.rest.update((w, self.old[w]) for w in known)
-        new = list(new - known)
-        self.rest.update(zip(new, self._library([w[1:].decode() if w[:1] == b"\0" else " " + w.decode() for w in new]), strict=True))
-        get = self.rest.__getitem__
+            self.first, self.rest, self.old = {}, {HEAD: b""}, self.rest
+        get, waiting, new, done = self.rest.get, [], {}, []
         for i, w in cut:
-            out[i] = self.first[w[0]] + b"".join(map(get, w[1:]))
-        for cache, added in ((self.first, firsts), (self.rest, new)):
-            for w in added:
-                if len(w) > CACHE_BYTES:
-                    del cache[w]
+            head, w[0] = w[0], HEAD
+            found = list(map(get, w))
+            done.append((i, head, found))
+            k = -1
+            try:
+                while True:
+                    k = found.index(None, k + 1)
+                    waiting.append((found, k, w[k]))
+                    new[w[k]] = None
+            except ValueError:
+                pass
+        fresh = {w: self.old[w] for w in new.keys() & self.old.keys()}
+        unknown = list(new.keys() - fresh.keys())
+        fresh.update(zip(unknown, self._library([w[1:].decode() if w[:1] == b"\0" else " " + w.decode() for w in unknown]), strict=True))
+        for found, k, w in waiting:
+            found[k] = fresh[w]
+        self.rest.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_BYTES)
+        heads = list({h for _, h, _ in done}.difference(self.first))
+        firsts = self.first | dict(zip(heads, self._library([h.decode() for h in heads]), strict=True))
+        self.first.update((h, firsts[h]) for h in heads if len(h) <= CACHE_BYTES)
+        for i, head, found in done:
+            out[i] = firsts[head] + b"".join(found)
         return out
 
 

@@ -460,6 +460,8 @@ def test_oracles(spark, name):
 def test_sums_of_many_tasks(spark):
     from loomlog.llm.common import summed
 
-    part = lambda b: np.array([len(b), b["id"].to_numpy().sum()], np.float32)
-    assert summed(spark.range(0, 4000, 1, 300).select("id"), part).tolist() == [4000, 7998000]
-    assert summed(spark.range(0).select("id"), part) is None
+    def part(batch, total):
+        total += [len(batch), batch["id"].to_numpy().sum()]
+
+    assert summed(spark.range(0, 4000, 1, 300).select("id"), part, 2).tolist() == [4000, 7998000]
+    assert summed(spark.range(0).select("id"), part, 2) is None
