@@ -79,15 +79,27 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False) -> DataFrame:
+#: Of a Python worker: what empties its caches. A task that doesn't use them calls these, as workers outlive operators.
+CACHES: list[Callable[[], None]] = []
+
+
+def empty_caches() -> None:
+    """By name, so that a task calls its own worker's and not a copy of the driver's list."""
+    for empty in CACHES:
+        empty()
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False, caches: bool = False) -> DataFrame:
     """fn over the Arrow batches, cut so that each holds one row or SLICE bytes at most.
 
-    With per_task, fn() makes the function once for each task.
+    With per_task, fn() makes the function once for each task; with caches, the worker keeps its caches.
     """
     given = fn
     small_batches(df.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not caches:
+            empty_caches()
         fn = given() if per_task else given
         for batch in batches:
             for part in sliced(batch):

@@ -178,7 +178,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = arrow_map(docs, _pieces(vocabulary, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, local long, part int", per_task=True)
+    pieces = arrow_map(docs, _pieces(vocabulary, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, local long, part int", per_task=True, caches=True)
     pieces = scratch.write(pieces, "pieces")
     # ranks of a length: those in earlier partitions of the first pass, then those in its own, fixed by what was written
     counts = scratch.write(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")

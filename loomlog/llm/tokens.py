@@ -15,11 +15,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
+from loomlog.llm.common import CACHES
 from loomlog.llm.textbytes import SPACE
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Cached words of a Python worker before the words used since then replace the older ones, and the longest that is kept.
-CACHE_WORDS, CACHE_BYTES = 250_000, 12
+CACHE_WORDS, CACHE_BYTES = 600_000, 14
 WORD, SIGN, BLANK, WHITE, APOSTROPHE, RARE = range(6)
 _kind = np.full(256, SIGN, np.uint8)
 _kind[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = WORD
@@ -61,6 +62,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.forget()
+        CACHES.append(self.forget)
+
+    def forget(self) -> None:
         self.first: dict[bytes, bytes] = {}
         self.rest: dict[bytes, bytes] = {HEAD: b""}
         self.old: dict[bytes, bytes] = {}
