@@ -6,16 +6,17 @@ own, so that short documents fill all of them. Bands of ROWS registers give cand
 registers, corrected for chance collisions of the compressed values, drops unlikely candidates; links are
 confirmed on the full shingle sets.
 
-Links inside one group are not all written out. Documents that share a band with a document not too far from both form a cluster.
-In it, each document is first held against the smallest that it shares a band with. What is then in other
-components than the cluster's main one is compared with all of the cluster, in cells of two blocks of rows of bounded
+Links inside one group are not all written out. Documents that share a band and are not too far from each other form a cluster:
+those of a band's bucket are held against its smallest, and then, but for those in one cluster, against each other by their
+registers. In a cluster, each document is first held against the smallest that it shares a band with. What is then in other
+components than the cluster's main one is compared with all of the cluster. Both take place in cells of two blocks of rows of bounded
 number, so that a task's work is bounded and only links that join components leave it. At a similarity of 0.8, 32 bands
-of 4 registers miss a link with probability (1 - 0.8**4)**32 = 5e-8.
+of 4 registers miss a link with probability (1 - 0.8**4)**32 = 5e-8; an estimate of under half of 0.8 is far less likely.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,12 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp: np
             flags[row[s:e], column[s:e] - lo] = 1
             common += flags[left] @ flags[right].T
     near = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
-    near &= (comp[left][:, None] != comp[right][None, :]) & (size[left] > 0)[:, None] & (size[right] > 0)[None, :]
+    return joining(near & (size[left] > 0)[:, None] & (size[right] > 0)[None, :], left, right, comp)
+
+
+def joining(near: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of components that the near pairs of rows of left and right join, as few as join the same."""
+    near = near & (comp[left][:, None] != comp[right][None, :])
     found, root = [], {}
 
     def top(x: int) -> int:
@@ -150,8 +156,17 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp: np
     return found
 
 
-def _across(n_words: int, percent: int):
-    """Rows (cluster, i, j, home, odd, comp, text), sorted by (cluster, i, j): rows of home block i against odd rows of block j."""
+def alike(sketches: list[tuple[int, np.ndarray]], left: np.ndarray, right: np.ndarray, comp: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """As linked(), for sketches (number of shingles, registers) with an estimate of at least `least`."""
+    n, sig = np.array([x for x, _ in sketches]), np.stack([x for _, x in sketches])
+    other, near = sig[right], np.empty((len(left), len(right)), bool)
+    for k, row in enumerate(left):
+        near[k] = estimate((other == sig[row]).sum(axis=1), n[row], n[right]) >= least
+    return joining(near, left, right, comp)
+
+
+def _across(columns: tuple[str, ...], load: Callable[[pa.RecordBatch], list], link: Callable):
+    """Rows (cluster, i, j, home, odd, comp, *columns), sorted by (cluster, i, j): what link finds between rows of home block i and odd rows of block j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -160,25 +175,63 @@ def _across(n_words: int, percent: int):
             home, odd = (np.flatnonzero([r[k] for r in rows]) for k in (0, 1))
             if not len(home) or not len(odd):
                 return None
-            found = linked([r[3] for r in rows], home, odd, np.array([r[2] for r in rows]), percent)
+            found = link([r[3] for r in rows], home, odd, np.array([r[2] for r in rows]))
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
 
         for batch in batches:
             for part in sliced(batch):
-                hashes, _, _, at = words(*column_bytes(part["text"]))
                 meta = [part[c].to_pylist() for c in ("cluster", "i", "j", "home", "odd", "comp")]
-                for k, (cluster, i, j, home, odd, comp) in enumerate(zip(*meta, strict=True)):
+                for cluster, i, j, home, odd, comp, what in zip(*meta, load(part.select(columns)), strict=True):
                     if key != (cluster, i, j):
                         if rows and (out := done()) is not None:
                             yield out
                         key, rows = (cluster, i, j), []
-                    rows.append((home, odd, comp, shingles(hashes[at[k] : at[k + 1]], n_words)))
+                    rows.append((home, odd, comp, what))
         if rows and (out := done()) is not None:
             yield out
 
     return run
 
 
+def _across_texts(n_words: int, percent: int):
+    def load(part: pa.RecordBatch) -> list:
+        hashes, _, _, at = words(*column_bytes(part["text"]))
+        return [shingles(hashes[at[k] : at[k + 1]], n_words) for k in range(part.num_rows)]
+
+    return _across(("text",), load, lambda sets, home, odd, comp: linked(sets, home, odd, comp, percent))
+
+
+def _across_sketches(least: float):
+    def load(part: pa.RecordBatch) -> list:
+        return [(n, np.frombuffer(sig, np.uint16)) for n, sig in zip(part["n"].to_pylist(), part["sig"].to_pylist(), strict=True)]
+
+    return _across(("n", "sig"), load, lambda rows, home, odd, comp: alike(rows, home, odd, comp, least))
+
+
+def celled(named: DataFrame, main: DataFrame, what: DataFrame) -> DataFrame:
+    """Rows (rep, cluster, comp) dealt to cells so that each one outside its cluster's main component meets all of the cluster, with the columns of what (rep, ...)."""
+    odd = F.col("comp") != F.col("main")
+    split = named.join(main, "cluster").groupBy("cluster", "main").agg(F.count("*").alias("all"), F.count(F.when(odd, 1)).alias("odds")).where("odds > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    left = named.join(split, "cluster").select("rep", "cluster", "comp", odd.alias("odd"), blocks("all").alias("ni"), blocks("odds").alias("nj"))
+    place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"), F.lit(not home).alias("away"))
+    cells = F.transform(each("nj"), lambda j: cell(place("ni", 1), j, True))
+    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda i: cell(i, place("nj", 2), False)))).otherwise(cells)
+    placed = left.select("rep", "cluster", "comp", F.explode(cells).alias("at"))
+    # a row can be at home and odd in the same cell
+    placed = placed.groupBy("rep", "cluster", "comp", "at.i", "at.j").agg(F.max("at.home").alias("home"), F.max("at.away").alias("odd"))
+    return placed.join(what, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").drop("rep")
+
+
+def merged(comp: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """comp (node, comp) with the components, or nodes without one, that links (a, b) join."""
+    second = components(links, scratch, tag)
+    nodes = comp.unionByName(second.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    return scratch.write(nodes.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{tag}-merged")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); other columns are ignored.
 
@@ -205,7 +258,18 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     sig = lambda side: reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
     sized = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
     pairs = scratch.write(arrow_map(sized, _estimated, "a long, b long, n_a long, n_b long, est double").where(F.col("est") >= threshold / 2), "pairs")
-    cluster = scratch.write(components(pairs, scratch, "near").select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "cluster")
+    near = components(pairs, scratch, "near")
+    # the rest of each bucket, which has met the lead: those in other clusters than most of it against all of it
+    members = bands.join(buckets.where("size > 2"), "key").where("rep <> lead").select("rep", F.col("key").alias("cluster"))
+    members = members.join(near.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp"))
+    several = members.groupBy("cluster").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("cluster")
+    members = scratch.write(members.join(several, "cluster"), "members")
+    main = members.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    met = celled(members, main, reps).select("cluster", "i", "j", "home", "odd", "comp", "n", "sig").mapInArrow(_across_sketches(threshold / 2), "a long, b long")
+    met = scratch.write(met.distinct(), "met")
+    if not met.isEmpty():
+        near = merged(near, met, scratch, "nearer")
+    cluster = scratch.write(near.select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "cluster")
     # where a doc_id has several texts, any of them can link
     texts = docs.where("doc_id is not null").join(cluster.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = scratch.write(texts.select(F.col("doc_id").alias("rep"), "text"), "texts")
@@ -220,25 +284,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     # then what is left of each cluster: one of its components is its main one; rows of others are odd
     named = scratch.write(cluster.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp")), "named")
     main = named.where("rep = cluster").select("cluster", F.col("comp").alias("main"))
-    odd = F.col("comp") != F.col("main")
-    split = named.join(main, "cluster").groupBy("cluster", "main").agg(F.count("*").alias("all"), F.count(F.when(odd, 1)).alias("odds")).where("odds > 0")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    left = named.join(split, "cluster").select("rep", "cluster", "comp", odd.alias("odd"), blocks("all").alias("ni"), blocks("odds").alias("nj"))
-    place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"), F.lit(not home).alias("away"))
-    cells = F.transform(each("nj"), lambda j: cell(place("ni", 1), j, True))
-    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda i: cell(i, place("nj", 2), False)))).otherwise(cells)
-    placed = left.select("rep", "cluster", "comp", F.explode(cells).alias("at"))
-    # a row can be at home and odd in the same cell
-    placed = placed.groupBy("rep", "cluster", "comp", "at.i", "at.j").agg(F.max("at.home").alias("home"), F.max("at.away").alias("odd"))
-    placed = placed.join(texts, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    rest = placed.select("cluster", "i", "j", "home", "odd", "comp", "text").mapInArrow(_across(n_words, percent), "a long, b long")
+    rest = celled(named, main, texts).select("cluster", "i", "j", "home", "odd", "comp", "text").mapInArrow(_across_texts(n_words, percent), "a long, b long")
     rest = scratch.write(rest.distinct(), "rest")
     if not rest.isEmpty():
-        second = components(rest, scratch, "second")
-        nodes = comp.unionByName(second.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
-        comp = scratch.write(nodes.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
+        comp = merged(comp, rest, scratch, "second")
     classes = classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("n", "h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     # only classes of several documents or links differ from the document itself
     out = sketches.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))

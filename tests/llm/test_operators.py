@@ -98,6 +98,20 @@ def test_near_duplicates_of_a_group_with_links_that_miss_its_smallest(spark):
     assert got == brute_components({i: word_sets(t, 2) for i, t in enumerate(texts)}, 80)
 
 
+def test_near_duplicates_whose_buckets_have_smallest_documents_unlike_them(spark):
+    """In each band, a document of only the words that give its registers comes first."""
+    names = [f"w{k}" for k in range(108)]
+    a, b = names[:100], names[8:]
+    hashes = near_dedup.shingles(words(*column_bytes(pa.array([" ".join(names)])))[0], 1)
+    named = {int(near_dedup.shingles(words(*column_bytes(pa.array([w])))[0], 1)[0]): w for w in names}
+    assert len(named) == len(hashes) == 108
+    order = (hashes[None, :] * near_dedup.MUL[:, None] + near_dedup.ADD[:, None]).argmin(axis=1).reshape(near_dedup.BANDS, near_dedup.ROWS)
+    texts = [" ".join(sorted({named[int(hashes[k])] for k in band})) for band in order] + [" ".join(a), " ".join(b)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_words=1).collect()}
+    want = brute_components({i: word_sets(t, 1) for i, t in enumerate(texts)}, 80)
+    assert want[near_dedup.BANDS + 1] == near_dedup.BANDS and got == want
+
+
 def test_registers_estimate_the_similarity():
     a, b = (np.unique(near_dedup.fmix(np.arange(lo, lo + 4000, dtype=np.uint64) + np.uint64(1))) for lo in (0, 1000))
     equal = (near_dedup.registers(a) == near_dedup.registers(b)).sum()
