@@ -4,7 +4,8 @@ Terms are words of letters and digits, hashed to TERMS columns and weighted by t
 A randomised SVD of the passages' TF-IDF matrix A gives the latent space: each partition sums a sparse random projection S A, in
 which each passage adds to a few of ROWS rows with random signs, and the right singular vectors of the sum span the
 space. Windows of each document slide in steps of STRIDE words; a window about as long as an item, and with at least
-COSINE to it in the latent space, is a candidate. The longest common subsequence of the words decides: either most of the
+COSINE to it in the latent space, is a candidate, and so is any window in which enough of an item's rarest words stand for
+PART of the item to be there in order, whatever its cosine. The longest common subsequence of the words decides: either most of the
 item is there in order, or a good part of it and nearly all of its answer, the item's last sentence.
 """
 
@@ -28,6 +29,8 @@ STRIDE, PASSAGE = 8, 8  # words of a step; steps of a passage of the SVD
 COSINE = 0.4
 #: The shares of an item, and of its answer, that must be found in order.
 ITEM, PART, ANSWER = 0.8, 0.6, 0.8
+#: The share of an item that a window must have in the item's rarest words; more of them are looked for until that follows from PART.
+SHARED = 0.3
 #: Items that one pass holds; more items take more passes.
 ITEMS = 4096
 #: Words that are looked at together; a longer document is taken in parts that overlap by the longest window.
@@ -73,10 +76,10 @@ def space_of(total: np.ndarray) -> np.ndarray:
     return weight[:, None] * (m.T @ (v[:, kept] / np.sqrt(w[kept])))
 
 
-def latent(docs: DataFrame) -> np.ndarray:
-    """The latent space of all passages of all documents."""
+def latent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The latent space of all passages of all documents, and the passages with each term."""
     total = summed(docs.select("text"), _sketched, (1 + ROWS) * TERMS, "<f4")
-    return np.zeros((TERMS, RANK)) if total is None else space_of(total)
+    return (np.zeros((TERMS, RANK)), np.zeros(TERMS)) if total is None else (space_of(total), total[:TERMS])
 
 
 def stepped(terms: np.ndarray, at: np.ndarray, table: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,9 @@ class Items:
     words: list[tuple[int, ...]]
     answer: list[int]  # the answer's number of words, at the end
     classes: dict[int, tuple[np.ndarray, np.ndarray]]
-    needed: np.ndarray  # distinct rare words of an item that a window must hold for PART of it to be a subsequence
+    steps: np.ndarray  # of the window that each is held against
+    slot: np.ndarray  # its place in the class of these steps
+    needed: np.ndarray  # places of a window that must hold rare words of an item for PART of it to be a subsequence, 1 at least
     rare: np.ndarray  # hashes of rare words, ascending
     holders: list[np.ndarray]  # the items with each of them
 
@@ -126,13 +131,13 @@ def _subsequence(item: tuple[int, ...], text: list[int], low: int = 0) -> int:
     return len(item) - low - v.bit_count()
 
 
-def prepare(rows: list[tuple], table: np.ndarray) -> Items:
+def prepare(rows: list[tuple], table: np.ndarray, df: np.ndarray) -> Items:
     """rows: (item_id, text). Items without a word can't be found and are left out."""
     col = pa.array([t or "" for _, t in rows], pa.string())
     data, off = column_bytes(col)
     hashes, starts, _, at = words(data, off, ALNUM)
     zero = _with_zero(table)
-    ids, own, answer, classes = [], [], [], {}
+    ids, own, answer, classes, taken, slot = [], [], [], {}, [], []
     for i, (item, _) in enumerate(rows):
         h = hashes[at[i] : at[i + 1]]
         if not len(h):
@@ -147,19 +152,32 @@ def prepare(rows: list[tuple], table: np.ndarray) -> Items:
         v = v / max(float(np.linalg.norm(v)), 1e-12)
         steps = -(-len(h) // STRIDE) + 1
         classes.setdefault(steps, ([], []))
+        taken.append(steps)
+        slot.append(len(classes[steps][0]))
         classes[steps][0].append(len(ids))
         classes[steps][1].append(v)
         ids.append(item)
         own.append(tuple(h.tolist()))
-    # words of weight in the latent space; a subsequence of PART of an item misses 1 - PART of it at most
-    rare = [sorted({w for w in x if zero[_terms(np.array([w], U))[0]].any()}) for x in own]
-    needed = [len(r) - (len(x) - int(np.ceil(PART * len(x)))) for r, x in zip(rare, own, strict=True)]
+    # words of weight in the latent space, and the next rarest until a window must hold SHARED of the item in them; a
+    # subsequence of PART of an item misses 1 - PART of its places at most
+    rare, needed = [], []
+    for x in own:
+        times, miss = Counter(x), len(x) - int(np.ceil(PART * len(x)))
+        term = dict(zip(times, _terms(np.array(list(times), U)).tolist(), strict=True))
+        chosen, places = [], 0
+        for w in sorted(times, key=lambda w: (df[term[w]], w)):
+            if places >= miss + SHARED * len(x) and not zero[term[w]].any():
+                break
+            chosen.append(w)
+            places += times[w]
+        rare.append(chosen)
+        needed.append(places - miss)
     held: dict[int, list[int]] = {}
     for j, r in enumerate(rare):
         for w in r:
             held.setdefault(w, []).append(j)
     order = sorted(held)
-    return Items(ids, own, answer, {s: (np.array(k), np.array(v, np.float32)) for s, (k, v) in classes.items()}, np.array(needed), np.array(order, U), [np.array(held[w]) for w in order])
+    return Items(ids, own, answer, {s: (np.array(k), np.array(v, np.float32)) for s, (k, v) in classes.items()}, np.array(taken, np.int64), np.array(slot, np.int64), np.array(needed, np.int64), np.array(order, U), [np.array(held[w]) for w in order])
 
 
 def _search(items: Items, table: np.ndarray):
@@ -172,6 +190,7 @@ def _search(items: Items, table: np.ndarray):
     flat = np.concatenate([*items.holders, np.zeros(0, np.int64)]).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     counts = [Counter(w) for w in items.words]
+    none = np.zeros(0, np.int64)
 
     def found(hashes: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple]:
         best: dict[tuple[int, int], tuple] = {}
@@ -187,9 +206,10 @@ def _search(items: Items, table: np.ndarray):
             place, k = place[same], k[same]
         n = sizes[k] if len(k) else np.zeros(0, np.int64)
         item_at = flat[np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(k) else n
-        # each place counts once in a document for the same word: repeats may only raise the bound
+        # each place counts once for an item: repeats may only raise the bound
         spots = np.sort(item_at * (len(hashes) + 1) + np.repeat(place, n))
         doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
+        held = _holding(spots, at, first)
         for at_once in range(0, len(y) - longest, 4096):
             window = y[at_once : min(at_once + 4096, len(y) - longest)].copy()
             for steps in range(1, longest + 1):
@@ -200,7 +220,9 @@ def _search(items: Items, table: np.ndarray):
                 which, v = items.classes[steps]
                 norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-12)
                 cos = (window / norm[:, None]) @ v.T
-                hit = np.flatnonzero(cos >= COSINE)
+                begins, slots = held.get(steps, (none, none))
+                a, b = np.searchsorted(begins, [at_once, at_once + len(window)])
+                hit = np.union1d(np.flatnonzero(cos >= COSINE), (begins[a:b] - at_once) * len(which) + slots[a:b])
                 if not len(hit):
                     continue
                 s, item = np.divmod(hit, len(which))
@@ -213,6 +235,25 @@ def _search(items: Items, table: np.ndarray):
                 _check(hashes, at, best, *(x[enough].tolist() for x in (d, j, lo, hi, cosine)))
         return best
 
+    def _holding(spots: np.ndarray, at: np.ndarray, first: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By steps: first step, ascending, and slot of the item, for each window with as many places of its rare words as needed."""
+        item, place = np.divmod(spots, at[-1] + 1)
+        end = np.arange(len(spots)) + items.needed[item] - 1
+        k = np.flatnonzero(end < len(spots))
+        k = k[item[end[k]] == item[k]]
+        k = k[place[end[k]] - place[k] < (items.steps[item[k]] + 2) * STRIDE]
+        d = np.searchsorted(at, place[k], "right") - 1
+        inside = place[end[k]] < at[d + 1]
+        k, d = k[inside], d[inside]
+        # windows that reach from the first to the last of these places
+        steps = items.steps[item[k]]
+        low = np.maximum((place[end[k]] - at[d]) // STRIDE - steps, 0)
+        high = np.minimum((place[k] - at[d]) // STRIDE + 1, (at[d + 1] - at[d] - 1) // STRIDE)
+        n = np.maximum(high - low + 1, 0)
+        begins = np.repeat(first[d] + low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        begins, which = np.divmod(np.unique(begins * len(items.ids) + np.repeat(item[k], n)), len(items.ids))
+        return {int(x): (begins[of], items.slot[which[of]]) for x in np.unique(items.steps[which]) for of in [items.steps[which] == x]}
+
     def _check(hashes, at, best, *columns) -> None:
         for d, j, lo, hi, c in zip(*columns, strict=True):
             own, before = items.words[j], best.get((d, j), (0,))[0]
@@ -268,10 +309,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), fold).toLocalIterator()]
     if not rows:
         return spark.createDataFrame([], schema)
-    table = latent(docs)
+    table, df = latent(docs)
     out = None
     for lo in range(0, len(rows), ITEMS):
-        given = spark.sparkContext.broadcast((prepare(rows[lo : lo + ITEMS], table), table.astype(np.float32)))
+        given = spark.sparkContext.broadcast((prepare(rows[lo : lo + ITEMS], table, df), table.astype(np.float32)))
         part = arrow_map(docs, lambda given=given: _search(*given.value), schema, per_task=True)
         out = part if out is None else out.unionByName(part)
     return out

@@ -233,6 +233,19 @@ def test_decontamination(spark, docs, empty):
     decontaminate.leaks(docs, bench).count()
 
 
+def test_decontamination_of_items_of_frequent_words_only(spark):
+    """Words in most passages have no weight in the latent space; the rest of the vocabulary is a long tail."""
+    r = random.Random(6)
+    often = [f"often{k}" for k in range(60)]
+    text = lambda n: " ".join(r.choice(often) if r.random() < 0.9 else f"seldom{r.randrange(5000)}" for _ in range(n))
+    items = [(k, " ".join(r.choice(often) for _ in range(30))) for k in range(8)] + [(8, " ".join(["often1 often2"] * 15))]
+    texts = [f"{text(150)} {items[k][1]} {text(70)}" if k < 9 else text(300) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(table, bench).where("share = 1").collect()}
+    assert got == {(k, k) for k in range(9)}
+
+
 def test_longest_common_subsequence():
     r = random.Random(2)
 
