@@ -29,12 +29,12 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that are plainly another language than lang says; without a lang any language will do."""
+    """Drops documents without a letter and those that are plainly another language than lang says; without a lang, or with one that was not learned, any language will do."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     # each row as one column, so that no name of it clashes with a result
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     named = language_id.predict(rows, model, ("row",))
-    wrong = (F.col("lang_pred") == language_id.UND) | (F.col("row.lang").isNotNull() & (F.col("lang_pred") != F.col("row.lang")) & (F.col("score") >= LANGUAGE))
+    wrong = (F.col("lang_pred") == language_id.UND) | F.coalesce(F.col("row.lang").isin(list(model.languages)) & (F.col("lang_pred") != F.col("row.lang")) & (F.col("score") >= LANGUAGE), F.lit(False))
     return named.where(~wrong).select("row.*")
 
 

@@ -464,6 +464,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+def test_pipeline_keeps_languages_that_were_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    said = [("en", "the river and the stone under the light"), ("de", "der große Zug fährt über die Brücke"), ("xx", "the stone and the river under the light")]
+    texts = [(k, f"{t} {k}", lang) for n, (lang, t) in zip((30, 30, 5), said, strict=True) for k in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "").where("lang = 'xx'").count() == 5
+
+
 def test_pipeline_runs_whole(spark):
     got = corpus_pipeline.run(spark, str(SF)).collect()
     kept = {r["doc_id"] for r in got}
