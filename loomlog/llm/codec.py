@@ -1,13 +1,14 @@
 """A file format for token ids: blocks of BLOCK ids, each coded on its own by an adaptive range coder with mixed contexts.
 
-The coder predicts the next id of a block from three orders: the id that last followed the two ids before (order 2), the one that
-last followed the id before (order 1), and the counts of the block's ids so far (order 0). How far each order is
-trusted is learned while coding, by counts of what came true for each pair of confidences; ids new to a block
-are coded evenly over the vocabulary. Ids have slots in the order in which a block first has them. All blocks of a call advance
-together, a column of ids at a time, as arrays.
-
-A block: magic, ids, vocabulary, length of the code, crc32 of the ids as little-endian unsigned 32-bit integers, crc32 of the
-code, and the code as 16-bit words.
+A block is cut into lanes of STEPS ids that advance together, an id each at a step, as arrays. All lanes of a block share one
+model, which starts empty and learns from each step, so that its tables stay small enough for a core's cache. It
+predicts from three orders: the id that mostly followed the two ids before (order 2), the one that mostly followed the id before
+(order 1), and the counts of the block's ids so far (order 0). How far each order is trusted is learned while
+coding, by counts of what came true for each pair of confidences; ids new to the block are coded evenly over the vocabulary.
+Each lane has a range coder of its own, with 64-bit bounds that move out 32 bits at a time.
+
+A block: magic, ids, vocabulary, length of the body, crc32 of the ids as little-endian unsigned 32-bit integers, crc32 of the
+body, and the body: the number of words of each lane (16 bits each), then the lanes' codes as 32-bit words.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192
-MAGIC = b"LMC1"
+LANES, STEPS = 2048, 256
+BLOCK = LANES * STEPS
+MAGIC = b"LMC2"
 HEADER = struct.Struct("<4sIIIII")
-SLOTS, PAIRS, CONTEXTS = 4096, 8192, 128
 HIT2, HIT1, SEEN, NEW = range(4)
-#: Shares of the four outcomes are edges on a scale of 2**SCALE, of which each outcome keeps FLOOR; RATE is how fast they learn.
-SCALE, FLOOR, RATE = 15, 32, 5
+#: Entries of the order-2 table; contexts, as pairs of confidences and whether both orders predict the same id.
+PAIRS, CONTEXTS, SURE = 1 << 17, 128, 7
+#: Shares of the four outcomes are edges on a scale of 2**SCALE, of which each outcome keeps one part at least.
+SCALE = 10
+#: Ids below this fit the tables, which hold id << 3 | confidence.
+MOST = 1 << 28
 U = np.uint64
-TOP, BOTTOM, ALL = U(1 << 48), U(1 << 32), U(0xFFFFFFFFFFFFFFFF)
-WORD = U(16)
+LOW32 = U((1 << 32) - 1)
 
 
 class Corrupt(ValueError):
@@ -34,220 +38,174 @@ class Corrupt(ValueError):
 
 
 class _Model:
-    """The state of `lanes` blocks; tables of all lanes lie one after another in flat arrays."""
-
-    def __init__(self, lanes: int):
-        n = self.n = lanes
-        self.lane = np.arange(n)
-        self.slot0, self.pair0, self.mix0, self.cum0 = self.lane * (SLOTS + 1), self.lane * PAIRS, self.lane * CONTEXTS, self.lane * (SLOTS + 2)
-        self.ids = np.zeros(n * (SLOTS + 1), np.uint32)
-        self.count = np.zeros(n * (SLOTS + 1), np.int16)
-        self.cum = np.zeros(n * (SLOTS + 2), np.int16)
-        # slot << 3 | confidence of what last followed
-        self.one = np.zeros(n * (SLOTS + 1), np.uint16)
-        self.two = np.zeros(n * PAIRS, np.uint16)
-        self.mix = [np.full(n * CONTEXTS, (1 << SCALE) * k // 4, np.int32) for k in (1, 2, 3)]
-        self.edges = np.zeros((5, n), np.int64)
-        self.edges[4] = 1 << SCALE
-        self.seen, self.ready, self.total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.p1 = self.p2 = np.full(n, SLOTS)
-        self.next = 16
-
-    def refresh(self, step: int) -> None:
-        """Order-0 counts enter the table of sums at steps that grow by a quarter."""
+    """The state of one block; what `lanes` lanes see and learn at a step."""
+
+    def __init__(self, lanes: int, vocabulary: int):
+        self.one, self.two = np.zeros(vocabulary, np.uint32), np.zeros(PAIRS, np.uint32)
+        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.came = np.ones((CONTEXTS, 4), np.int64)
+        self.count, self.cum = np.zeros(vocabulary, np.int64), np.zeros(vocabulary + 1, np.int64)
+        self.inverse = np.zeros(1, np.int64)
+        self.total, self.next, self.since = 1, 0, 0
+
+    def refresh(self, step: int, ids: np.ndarray, inverse: bool) -> None:
+        """What was learned enters the shares at steps that grow by a quarter; ids: a row of all lanes for each step."""
         if step < self.next:
             return
-        self.next = step + max(16, step // 4)
-        most = int(self.seen.max())
-        cum = self.cum.reshape(self.n, -1)
-        np.cumsum(self.count.reshape(self.n, -1)[:, :most], axis=1, dtype=np.int16, out=cum[:, 1 : most + 1])
-        cum[:, most + 1 :] = cum[:, most : most + 1]
-        self.ready, self.total = self.seen.copy(), cum[:, -1].astype(np.int64)
+        if step:
+            self.count += np.bincount(ids[self.since : step].ravel(), minlength=len(self.count))
+            np.cumsum(self.count, out=self.cum[1:])
+            self.total = int(self.cum[-1])
+            if inverse:
+                self.inverse = np.repeat(np.arange(len(self.count)), self.count)
+        self.since, self.next = step, step + max(1, step // 4)
+        share = self.came * ((1 << SCALE) - 4) // self.came.sum(axis=1, keepdims=True) + 1
+        self.edges = np.zeros((CONTEXTS, 5), U)
+        self.edges[:, 1:4] = np.cumsum(share[:, :3], axis=1)
+        self.edges[:, 4] = 1 << SCALE
+        if inverse:
+            self.outcome = np.repeat(np.tile(np.arange(4, dtype=np.uint8), CONTEXTS), np.diff(self.edges.astype(np.int64), axis=1).ravel())
+        self.start, self.size = self.edges[:, :4].ravel(), np.diff(self.edges, axis=1).ravel()
 
     def predict(self) -> None:
-        self.at1 = self.slot0 + self.p1
-        self.at2 = self.pair0 + ((self.p2 * 4099 + self.p1 * 31) & (PAIRS - 1))
-        v1, v2 = self.one.take(self.at1).astype(np.int64), self.two.take(self.at2).astype(np.int64)
-        self.s1, self.c1, self.s2, self.c2 = v1 >> 3, v1 & 7, v2 >> 3, v2 & 7
-        self.context = self.mix0 + ((self.c2 << 4) + (self.c1 << 1) + (self.s1 == self.s2))
-        for k in range(3):
-            self.edges[k + 1] = self.mix[k].take(self.context)
-
-    def span(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, at = self.edges.reshape(-1), outcome * self.n + self.lane
-        start = flat.take(at)
-        return start.astype(U), (flat.take(at + self.n) - start).astype(U)
-
-    def update(self, outcome: np.ndarray, slot: np.ndarray) -> None:
-        for k in range(3):
-            edge = self.edges[k + 1]
-            goal = np.where(outcome <= k, (1 << SCALE) - (3 - k) * FLOOR, (k + 1) * FLOOR)
-            self.mix[k][self.context] = edge + ((goal - edge) >> RATE)
-        self.count[self.slot0 + slot] += 1
-        new = slot << 3
-        self.one[self.at1] = new + np.where(self.s1 == slot, np.minimum(self.c1 + 1, 7), 1)
-        self.two[self.at2] = new + np.where(self.s2 == slot, np.minimum(self.c2 + 1, 7), 1)
-        self.p2, self.p1 = self.p1, slot
-
-    def add(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Slots for new ids; SLOTS if a block has no more."""
-        slot = self.seen[rows]
-        self.ids[self.slot0[rows] + slot] = ids
-        self.seen[rows] = np.minimum(slot + 1, SLOTS)
-        return slot
-
-
-def _settle(low: np.ndarray, width: np.ndarray, shift) -> None:
-    """Moves words out until each lane's width is over BOTTOM again."""
-    high = low + width
-    rows = np.flatnonzero(((low ^ high) < TOP) | (width < BOTTOM))
-    while len(rows):
-        lo, wide = low[rows], width[rows]
-        short = (lo ^ (lo + wide)) >= TOP
-        width[rows] = np.where(short, (~lo + U(1)) & (BOTTOM - U(1)), wide) << WORD
-        shift(rows, lo)
-        low[rows] = lo = lo << WORD
-        wide = width[rows]
-        rows = rows[((lo ^ (lo + wide)) < TOP) | (wide < BOTTOM)]
+        self.at2 = (self.p2 * 40503 ^ self.p1 * 2654435761 >> 7) & (PAIRS - 1)
+        self.v1, self.v2 = self.one.take(self.p1), self.two.take(self.at2)
+        self.id1, self.id2 = self.v1 >> 3, self.v2 >> 3
+        self.context = ((self.v2 & 7) << 4 | (self.v1 & 7) << 1 | (self.id1 == self.id2)).astype(np.int64) << 2
+
+    def update(self, cell: np.ndarray, ids: np.ndarray) -> None:
+        """cell: the context and outcome of each lane. Lanes that write to one place do so in their order."""
+        self.came += np.bincount(cell, minlength=CONTEXTS * 4).reshape(CONTEXTS, 4)
+        new = ids.astype(np.uint32) << 3 | 1
+        for table, at, v, same in ((self.one, self.p1, self.v1, self.id1 == ids), (self.two, self.at2, self.v2, self.id2 == ids)):
+            sure = v & 7
+            table[at] = np.where(same & (sure > 0), v + (sure < SURE), np.where(sure > 1, v - (sure >> 1), new))
+        self.p2, self.p1 = self.p1, ids
+
+
+def _settle(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose width has fallen below 32 bits, and their words that move out."""
+    rows = np.flatnonzero(width <= LOW32)
+    lo, wide = low[rows], width[rows]
+    # a range that lies across a word's end is cut there
+    wide = np.where((lo ^ (lo + wide)) > LOW32, (~lo + U(1)) & LOW32, wide)
+    low[rows], width[rows] = lo << U(32), wide << U(32)
+    return rows, lo >> U(32)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    lanes = -(-n // STEPS)
+    return lanes, min(n, STEPS)
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """Blocks of BLOCK ids each, the last maybe shorter; ids below vocabulary."""
-    n = len(ids)
-    if not n:
+    if not len(ids):
         return []
-    if int(ids.max()) >= vocabulary:
-        raise ValueError("an id is outside the vocabulary")
-    lanes = -(-n // BLOCK)
-    steps = min(n, BLOCK)
-    grid = np.zeros(lanes * steps if lanes == 1 else lanes * BLOCK, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, -1).T)
-    m, lane = _Model(lanes), np.arange(lanes)
-    slots = np.full(lanes * vocabulary, -1, np.int16)
-    base = lane * vocabulary
-    low, width = np.zeros(lanes, U), np.full(lanes, ALL)
+    if int(ids.max()) >= vocabulary or vocabulary > MOST:
+        raise ValueError("an id is outside the vocabulary, or the vocabulary is too large")
+    return [_encoded(ids[k : k + BLOCK], vocabulary) for k in range(0, len(ids), BLOCK)]
+
+
+def _encoded(ids: np.ndarray, vocabulary: int) -> bytes:
+    lanes, steps = _shape(len(ids))
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    m = _Model(lanes, vocabulary)
+    low, width = np.zeros(lanes, U), np.full(lanes, ~U(0))
     words, where = [], []
-
-    def shift(rows: np.ndarray, lo: np.ndarray) -> None:
-        words.append((lo >> U(48)).astype(np.uint16))
-        where.append(rows)
-
-    for t in range(len(grid)):
-        m.refresh(t)
+    for t in range(steps):
+        m.refresh(t, grid, False)
         m.predict()
-        at = base + grid[t]
-        slot = slots.take(at).astype(np.int64)
-        outcome = np.where((slot >= 0) & (slot < m.ready), SEEN, NEW)
-        outcome[(m.s1 == slot) & (m.c1 > 0)] = HIT1
-        outcome[(m.s2 == slot) & (m.c2 > 0)] = HIT2
-        start, size = m.span(outcome)
+        x = grid[t]
+        start = m.cum.take(x)
+        size = m.cum.take(x + 1) - start
+        outcome = np.where(size > 0, SEEN, NEW)
+        outcome[(m.id1 == x) & (m.v1 > 0)] = HIT1
+        outcome[(m.id2 == x) & (m.v2 > 0)] = HIT2
+        cell = m.context + outcome
         width >>= U(SCALE)
-        low += width * start
-        width *= size
+        low += width * m.start.take(cell)
+        width *= m.size.take(cell)
         if len(r := np.flatnonzero(outcome == SEEN)):
-            place = m.cum0[r] + slot[r]
-            start, end = m.cum.take(place).astype(U), m.cum.take(place + 1).astype(U)
-            step = width[r] // m.total[r].astype(U)
-            low[r] += step * start
-            width[r] = step * (end - start)
+            step = width[r] // U(m.total)
+            low[r] += step * start[r].astype(U)
+            width[r] = step * size[r].astype(U)
         if len(r := np.flatnonzero(outcome == NEW)):
-            x = grid[t][r]
-            step = width[r] // U(vocabulary)
-            low[r] += step * x.astype(U)
-            width[r] = step
-            slot[r] = own = m.add(r, x)
-            kept = own < SLOTS
-            slots[at[r[kept]]] = own[kept]
-        m.update(outcome, slot)
-        _settle(low, width, shift)
-    for _ in range(4):
-        shift(lane, low)
-        low = low << WORD
+            width[r] = step = width[r] // U(vocabulary)
+            low[r] += step * x[r].astype(U)
+        m.update(cell, x)
+        rows, out = _settle(low, width)
+        where.append(rows)
+        words.append(out)
+    # the least multiple of a word in a lane's range stands for it; what a decoder reads past it is zero
+    where.append(np.arange(lanes))
+    words.append((low + LOW32) >> U(32))
     where, words = np.concatenate(where), np.concatenate(words)
-    order = np.argsort(where, kind="stable")
-    words, ends = words[order], np.cumsum(np.bincount(where, minlength=lanes))
-    out = []
-    for k in range(lanes):
-        own = np.ascontiguousarray(ids[k * BLOCK : (k + 1) * BLOCK]).astype("<u4")
-        code = words[ends[k - 1] if k else 0 : ends[k]].astype("<u2").tobytes()
-        out.append(HEADER.pack(MAGIC, len(own), vocabulary, len(code), zlib.crc32(own), zlib.crc32(code)) + code)
-    return out
+    body = np.bincount(where, minlength=lanes).astype("<u2").tobytes() + words[np.argsort(where, kind="stable")].astype("<u4").tobytes()
+    return HEADER.pack(MAGIC, len(ids), vocabulary, len(body), zlib.crc32(np.ascontiguousarray(ids).astype("<u4")), zlib.crc32(body)) + body
 
 
 def decode(blocks: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; raises Corrupt if a frame or checksum is wrong. Blocks of different lengths and vocabularies are decoded apart."""
-    heads = []
-    for b in blocks:
-        if len(b) < HEADER.size:
-            raise Corrupt("a block is too short")
-        magic, n, vocabulary, size, crc, code_crc = HEADER.unpack_from(b)
-        if magic != MAGIC or len(b) != HEADER.size + size or size % 2 or zlib.crc32(b[HEADER.size :]) != code_crc:
-            raise Corrupt("a block's frame or code is damaged")
-        heads.append((vocabulary, n, crc))
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
-    for vocabulary in sorted({h[0] for h in heads}):
-        rows = [i for i, h in enumerate(heads) if h[0] == vocabulary]
-        got = _decode([blocks[i] for i in rows], max(heads[i][1] for i in rows), vocabulary)
-        for i, ids in zip(rows, got, strict=True):
-            out[i] = ids[: heads[i][1]]
-            if zlib.crc32(out[i]) != heads[i][2]:
-                raise Corrupt("a block's ids don't match their checksum")
-    return out
-
-
-def _decode(blocks: list[bytes], steps: int, vocabulary: int) -> np.ndarray:
-    lanes = len(blocks)
-    lane = np.arange(lanes)
-    codes = [np.frombuffer(b, "<u2", offset=HEADER.size).astype(U) for b in blocks]
-    # a lane that is done early reads zeros
-    ends = np.cumsum([len(c) for c in codes])
-    data = np.concatenate([*codes, np.zeros(1, U)])
-    at = np.concatenate([[0], ends[:-1]])
-    m = _Model(lanes)
-    low, width, code = np.zeros(lanes, U), np.full(lanes, ALL), np.zeros(lanes, U)
-
-    def pull(rows: np.ndarray, lo: np.ndarray | None = None) -> None:
-        p = at[rows]
-        code[rows] = (code[rows] << WORD) | np.where(p < ends[rows], data.take(p, mode="clip"), U(0))
-        at[rows] = p + 1
-
-    for _ in range(4):
-        pull(lane)
-    out = np.zeros((steps, lanes), np.uint32)
+    """The ids of each block; raises Corrupt if a frame or checksum is wrong."""
+    return [_decoded(b) for b in blocks]
+
+
+def _decoded(block: bytes) -> np.ndarray:
+    if len(block) < HEADER.size:
+        raise Corrupt("a block is too short")
+    magic, n, vocabulary, size, crc, body_crc = HEADER.unpack_from(block)
+    lanes, steps = _shape(n)
+    if magic != MAGIC or len(block) != HEADER.size + size or zlib.crc32(block[HEADER.size :]) != body_crc or not 0 < n <= BLOCK or not 0 < vocabulary <= MOST or size < 2 * lanes or (size - 2 * lanes) % 4:
+        raise Corrupt("a block's frame or body is damaged")
+    lengths = np.frombuffer(block, "<u2", lanes, HEADER.size).astype(np.int64)
+    code = np.frombuffer(block, "<u4", offset=HEADER.size + 2 * lanes)
+    if lengths.sum() != len(code):
+        raise Corrupt("a block's lanes don't fill its body")
+    # each lane's words, and zeros for as many as it can read past them
+    most = int(lengths.max()) + 3
+    data = np.zeros((lanes, most), U)
+    data[np.arange(most)[None, :] < lengths[:, None]] = code
+    data = data.ravel()
+    m = _Model(lanes, vocabulary)
+    at = np.arange(lanes) * most
+    low, width = np.zeros(lanes, U), np.full(lanes, ~U(0))
+    # the code's distance from low
+    code = data.take(at) << U(32) | data.take(at + 1)
+    at += 2
+    out = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
-        m.refresh(t)
+        m.refresh(t, out, True)
         m.predict()
         width >>= U(SCALE)
         target = np.minimum((code - low) // width, U((1 << SCALE) - 1)).astype(np.int64)
-        outcome = (target >= m.edges[1]).astype(np.int64)
-        outcome += target >= m.edges[2]
-        outcome += target >= m.edges[3]
-        start, size = m.span(outcome)
-        low += width * start
-        width *= size
-        slot = np.where(outcome == HIT2, m.s2, m.s1)
+        outcome = m.outcome.take((m.context << (SCALE - 2)) + target)
+        cell = m.context + outcome
+        low += width * m.start.take(cell)
+        width *= m.size.take(cell)
+        x = np.where(outcome == HIT2, m.id2, m.id1).astype(np.int64)
         if len(r := np.flatnonzero(outcome == SEEN)):
-            total = np.maximum(m.total[r], 1)
-            step = np.maximum(width[r] // total.astype(U), U(1))
-            target = np.minimum((code[r] - low[r]) // step, (total - 1).astype(U)).astype(np.int16)
-            c0, found, size = m.cum0[r], np.zeros(len(r), np.int64), 1 << max(int(m.ready.max()) - 1, 0).bit_length()
-            while size > 1:
-                size >>= 1
-                found += size * (m.cum.take(c0 + found + size) <= target)
-            start, end = m.cum.take(c0 + found).astype(U), m.cum.take(c0 + found + 1).astype(U)
-            low[r] += step * start
-            width[r] = step * (end - start)
-            slot[r] = found
-        ids = m.ids.take(m.slot0 + slot)
+            w, lo = width[r], low[r]
+            step = np.maximum(w // U(m.total), U(1))
+            x[r] = found = m.inverse.take(((code[r] - lo) // step).astype(np.int64), mode="clip")
+            start = m.cum.take(found)
+            low[r] = lo + step * start.astype(U)
+            width[r] = step * (m.cum.take(found + 1) - start).astype(U)
         if len(r := np.flatnonzero(outcome == NEW)):
             step = np.maximum(width[r] // U(vocabulary), U(1))
-            x = np.minimum((code[r] - low[r]) // step, U(vocabulary - 1))
-            low[r] += step * x
+            new = np.minimum((code[r] - low[r]) // step, U(vocabulary - 1))
+            low[r] += step * new
             width[r] = step
-            slot[r] = m.add(r, x)
-            ids[r] = x
-        out[t] = ids
-        m.update(outcome, slot)
-        _settle(low, width, pull)
-    return np.ascontiguousarray(out.T)
+            x[r] = new
+        out[t] = x
+        m.update(cell, x)
+        rows, _ = _settle(low, width)
+        p = at[rows]
+        code[rows] = code[rows] << U(32) | data.take(p, mode="clip")
+        at[rows] = p + 1
+    ids = out.T.ravel()[:n].astype("<u4")
+    if zlib.crc32(np.ascontiguousarray(ids)) != crc:
+        raise Corrupt("a block's ids don't match their checksum")
+    return ids

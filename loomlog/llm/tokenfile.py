@@ -25,8 +25,6 @@ from loomlog.llm.textbytes import column_bytes
 from loomlog.llm.tokens import VOCABULARY, encoder
 
 END = 0
-#: Ids that a task holds at once before it codes them; all of their blocks advance together.
-HELD = 512 * codec.BLOCK
 
 
 def _coded(vocabulary: str, size: int):
@@ -72,7 +70,7 @@ def _coded(vocabulary: str, size: int):
                 held += ids
                 row += len(ids)
                 waiting += int(n.sum())
-                if waiting >= HELD and (out := flush(False)) is not None:
+                if waiting >= codec.BLOCK and (out := flush(False)) is not None:
                     yield out
         if waiting and (out := flush(True)) is not None:
             yield out
@@ -106,10 +104,10 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks joined by nothing: each block's ids with its place."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            b = batch.slice(lo, 512)
-            ids = codec.decode([x for x in b["data"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([b["part"], b["block"], b["first"], b["skip"], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["part", "block", "first", "skip", "ids"])
+        for k in range(batch.num_rows):
+            b = batch.slice(k, 1)
+            (ids,) = codec.decode(b["data"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["part"], b["block"], b["first"], b["skip"], pa.array([ids.tobytes()], pa.binary())], ["part", "block", "first", "skip", "ids"])
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -142,7 +140,8 @@ def digests(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the dataset's files.
 
     Documents are split over the ids that blocks hold of them: each block gives, for each document in it, the number
-    and the crc32 of its ids there; parts of one document are then put together in their order.
+    and the crc32 of its ids there; parts of one document are then put together in their order. Rows that repeat a
+    doc_id are documents of their own, and so are rows without one.
     """
     index = spark.read.parquet(f"{path}/index")
     blocks = spark.read.schema(SCHEMA).parquet(f"{path}/coded").where("kind = 'block'").select("part", "block", "first", "skip", "data")
@@ -156,21 +155,15 @@ def digests(spark, path: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                parts, rows, places, counts, crcs = [], [], [], [], []
-                for part, block, docs, ids in zip(b["part"].to_pylist(), b["block"].to_pylist(), b["docs"].to_pylist(), codec.decode(b["data"].to_pylist()), strict=True):
-                    raw, at = ids.astype("<u4").tobytes(), 0
-                    for d in docs:
-                        parts.append(part)
-                        rows.append(d["row"])
-                        places.append(block)
-                        counts.append(d["n"])
-                        crcs.append(zlib.crc32(raw[at : at + 4 * d["n"]]))
-                        at += 4 * d["n"]
-                    if at != len(raw):
-                        raise codec.Corrupt("the index doesn't fit the blocks")
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["part", "row", "block", "n", "crc"])
+            for k in range(batch.num_rows):
+                (ids,), docs = codec.decode([batch["data"][k].as_py()]), batch["docs"][k].values
+                n, raw = docs.field("n").to_numpy(), memoryview(ids.tobytes())
+                ends = 4 * np.cumsum(n)
+                if ends[-1] != len(raw):
+                    raise codec.Corrupt("the index doesn't fit the blocks")
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)]
+                same = lambda c, kind: pa.array(np.full(len(n), batch[c][k].as_py()), kind)
+                yield pa.RecordBatch.from_arrays([same("part", pa.int32()), docs.field("row"), same("block", pa.int64()), docs.field("n"), pa.array(crcs, pa.int64())], ["part", "row", "block", "n", "crc"])
 
     pieces = blocks.join(layout, ["part", "block"]).select("part", "block", "docs", "data").mapInArrow(cut, "part int, row long, block long, n long, crc long")
     # most documents lie in one or two blocks; those of many have a row for each block

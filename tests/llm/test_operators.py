@@ -309,10 +309,12 @@ def test_blocks_round_trip(ids):
 
 def test_blocks_of_all_kinds_and_damage():
     r = np.random.default_rng(0)
-    for ids in (np.zeros(20_000, np.uint32), np.arange(20_000, dtype=np.uint32), r.zipf(1.2, 30_000).clip(0, 50_256).astype(np.uint32)):
+    n = 2 * codec.BLOCK + 5000
+    for ids in (np.zeros(n, np.uint32), np.arange(n, dtype=np.uint32) % 50_257, r.integers(0, 50_257, n).astype(np.uint32), r.zipf(1.2, n).clip(0, 50_256).astype(np.uint32)):
         blocks = codec.encode(ids, 50_257)
         assert len(blocks) == -(-len(ids) // codec.BLOCK) and np.array_equal(np.concatenate(codec.decode(blocks)), ids)
         assert np.array_equal(codec.decode(blocks[1:2])[0], ids[codec.BLOCK : 2 * codec.BLOCK])  # each block on its own
+    assert all(np.array_equal(codec.decode(codec.encode(x, 1 << 20))[0], x) for k in (1, 2, 255, 256, 257, 3000) for x in [r.integers(0, 1 << 20, k).astype(np.uint32)])
     bad = bytearray(blocks[0])
     bad[len(bad) // 2] ^= 4
     for x in (bytes(bad), blocks[0][:-2], b"", b"XXXX" + blocks[0][4:]):
