@@ -5,6 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 # The reversed Castagnoli polynomial, the record frame (length, checksum, type), the largest record.
 CASTAGNOLI = 0x82F63B78
 FRAME = struct.Struct("<IIB")
@@ -81,3 +84,33 @@ def decode_pairs(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
     while at < len(data):
         yield field(), field()
+
+
+#: Pairs of an image at most: a shard of any size is many images.
+PAIRS = 1024
+
+
+def packed(state: DataFrame) -> DataFrame:
+    """state (shard, key, value) as images of pairs (shard, pairs binary), of one shard and at most PAIRS pairs each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for shard, part in t.groupby("shard"):
+                for lo in range(0, len(part), PAIRS):
+                    few = part.iloc[lo : lo + PAIRS]
+                    image = encode_pairs((k.encode(), v.encode()) for k, v in zip(few["key"], few["value"], strict=True))
+                    yield pd.DataFrame({"shard": [shard], "pairs": [image]})
+
+    return state.select("shard", "key", "value").sortWithinPartitions("shard").mapInPandas(run, "shard int, pairs binary")
+
+
+def unpacked(images: DataFrame) -> DataFrame:
+    """(shard, key, value) of images (shard, pairs); a damaged one raises ValueError."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for shard, image in zip(t["shard"], t["pairs"], strict=True):
+                pairs = list(decode_pairs(bytes(image)))
+                yield pd.DataFrame({"shard": [shard] * len(pairs), "key": [k.decode() for k, _ in pairs], "value": [v.decode() for _, v in pairs]})
+
+    return images.mapInPandas(run, "shard int, key string, value string")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import time
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomlog.functions.hashing import draw
 
 OPEN = (1 << 63) - 1  # the return of an operation that never came back
+#: States that a search enters before it gives up; a bound of steps and not of time, so that a verdict repeats.
+STATES = 1_000_000
 
 
-def check_register(ops: list[tuple], seconds: float = 30.0) -> str:
+def check_register(ops: list[tuple], states: int = STATES) -> str:
     """Ok, Illegal or Unknown for one key's operations (op, value, out, call, return).
 
     A depth-first search over orders that respect real time: an operation may be next if no other pending one returned before
@@ -19,11 +22,11 @@ def check_register(ops: list[tuple], seconds: float = 30.0) -> str:
     missing key reads as ''. Unfinished writes may come at any time after their call or never count; unfinished reads say nothing.
     """
     ops = sorted((o for o in ops if not (o[0] == "get" and o[4] == OPEN)), key=lambda o: (o[3], o[4]))
-    n, end = len(ops), time.monotonic() + seconds
+    n = len(ops)
     must = sum(1 << i for i, o in enumerate(ops) if o[4] != OPEN)
     stack, seen = [(0, "")], {(0, "")}
     while stack:
-        if time.monotonic() > end:
+        if len(seen) > states:
             return "Unknown"
         done, value = stack.pop()
         if done & must == must:
@@ -42,12 +45,12 @@ def check_register(ops: list[tuple], seconds: float = 30.0) -> str:
     return "Ok" if not n else "Illegal"
 
 
-def check(history: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """history (key, op, value, out, call_ns, return_ns) to (key, ops, verdict); keys are independent."""
+def check(history: DataFrame, states: int = STATES) -> DataFrame:
+    """history (key, op, value, out, call_ns, return_ns) to (key, ops, verdict); keys are independent, and a key's history is one task's."""
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         ops = list(t[["op", "value", "out", "call_ns", "return_ns"]].fillna("").itertuples(index=False, name=None))
-        return pd.DataFrame({"key": [t["key"].iloc[0]], "ops": [len(t)], "verdict": [check_register(ops, seconds)]})
+        return pd.DataFrame({"key": [t["key"].iloc[0]], "ops": [len(t)], "verdict": [check_register(ops, states)]})
 
     return history.groupBy("key").applyInPandas(one, "key string, ops long, verdict string")
 
@@ -90,10 +93,32 @@ def prefix_check(written: DataFrame, recovered: DataFrame) -> DataFrame:
     return out.select("run", "n", "recovered", "acked", ok.alias("valid"))
 
 
+def crash_audit(acked: DataFrame, state: DataFrame, iterations: DataFrame, sample: int = 200, seed: int = 1) -> DataFrame:
+    """(it, kind, acked, checked, lost, valid) of each iteration (it, kind) of a crash test; acked (it, key, value), each key once; state (key, value).
+
+    Checked are all writes that the iteration acknowledged and `sample` draws, with replacement, from those of earlier ones. None may be
+    lost, and an iteration without an acknowledged write fails, unless it killed all nodes.
+    """
+    per = iterations.join(acked.groupBy("it").agg(F.count("*").alias("acked")), "it", "left").select("it", "kind", F.coalesce("acked", F.lit(0)).alias("acked"))
+    # sums over iterations, not writes
+    older = F.coalesce(F.sum("acked").over(Window.orderBy("it").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("older", older)
+    place = F.row_number().over(Window.partitionBy("it").orderBy("key")) - 1
+    placed = acked.withColumn("own", place).join(per.select("it", "older"), "it").select("key", "value", (F.col("older") + F.col("own")).alias("place"), "it")
+    drawn = per.where("older > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(sample - 1))))
+    drawn = drawn.select("it", F.pmod(draw(1 << 40, F.lit(seed), F.col("it"), F.col("j")), F.col("older")).alias("place"))
+    asked = placed.select("it", "key", "value").unionByName(drawn.join(placed.drop("it"), "place").select("it", "key", "value"))
+    found = asked.join(state.select("key", F.col("value").alias("found")), "key", "left")
+    lost = found.groupBy("it").agg(F.count("*").alias("checked"), F.count(F.when(~F.col("value").eqNullSafe(F.col("found")), 1)).alias("lost"))
+    out = per.join(lost, "it", "left").select("it", "kind", "acked", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("lost", F.lit(0)).alias("lost"))
+    return out.withColumn("valid", (F.col("lost") == 0) & ((F.col("acked") > 0) | (F.col("kind") == "all")))
+
+
 def workload(spark: SparkSession, clients: int, ops: int, keys: int, seed: int) -> DataFrame:
-    """(client, n, op, key, value): half reads, a fifth puts, the rest appends of [client.n], the same for a seed and partitioning."""
-    rows = spark.range(0, clients * ops, 1, max(1, clients)).withColumn("r", F.rand(seed)).withColumn("k", F.floor(F.rand(seed + 1) * keys))
+    """(client, n, op, key, value): half reads, a fifth puts, the rest appends of [client.n]; a seed decides all of it."""
     client, n = F.floor(F.col("id") / ops), F.col("id") % ops
-    op = F.when(F.col("r") < 0.5, "get").when(F.col("r") < 0.7, "put").otherwise("append")
-    value = F.when(F.col("r") >= 0.5, F.concat(F.lit("["), client, F.lit("."), n, F.lit("]")))
-    return rows.select(client.cast("int").alias("client"), n.cast("int").alias("n"), op.alias("op"), F.concat(F.lit("k"), F.col("k")).alias("key"), value.alias("value"))
+    rows = spark.range(0, clients * ops).select(client.cast("int").alias("client"), n.cast("int").alias("n"))
+    rows = rows.withColumn("p", draw(10, F.lit(seed), F.lit("op"), F.col("client"), F.col("n"))).withColumn("k", draw(keys, F.lit(seed), F.lit("key"), F.col("client"), F.col("n")))
+    op = F.when(F.col("p") < 5, "get").when(F.col("p") < 7, "put").otherwise("append")
+    value = F.when(F.col("p") >= 5, F.concat(F.lit("["), "client", F.lit("."), "n", F.lit("]")))
+    return rows.select("client", "n", op.alias("op"), F.concat(F.lit("k"), "k").alias("key"), value.alias("value"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.functions.hashing import MASK32, fnv1a64
+
 DELETE, PUT = 0, 1
+# Bits a key, the least number of bits, and probes of a Bloom filter.
+BITS_A_KEY, LEAST_BITS, PROBES = 10, 64, 7
 
 
 def sources(log: DataFrame, width: int) -> DataFrame:
     """(source_rank, key, kind, value): a table for each `width` of idx, the newest with rank 0, each with the newest version of its keys."""
     cut = log.where(F.col("op") != "GET").withColumn("run", F.floor(F.col("idx") / width))
+    top = cut.agg(F.max("run").alias("top")).scalar()
     newest = cut.groupBy("run", "key").agg(F.max_by(F.struct(F.when(F.col("op") == "DELETE", DELETE).otherwise(PUT).alias("kind"), F.col("val").alias("value")), "idx").alias("v"))
-    runs = cut.agg(F.max("run").alias("top"))  # one row
-    return newest.join(F.broadcast(runs)).select((F.col("top") - F.col("run")).cast("int").alias("source_rank"), "key", "v.kind", F.when(F.col("v.kind") == PUT, F.col("v.value")).alias("value"))
+    return newest.select((top - F.col("run")).cast("int").alias("source_rank"), "key", "v.kind", F.when(F.col("v.kind") == PUT, F.col("v.value")).alias("value"))
 
 
 def merge(tables: DataFrame) -> DataFrame:
@@ -57,3 +61,30 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
 def semi_join(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Rows whose key is a member. Spark builds a Bloom filter of the members at run time where it pays; the join makes the result exact."""
     return rows.join(members.select(key).distinct(), key, "left_semi")
+
+
+def bloom_bits(keys: int) -> int:
+    """The size of a filter of so many keys, in whole bytes."""
+    return -(-max(LEAST_BITS, keys * BITS_A_KEY) // 8) * 8
+
+
+def probes(key: Column, bits: int) -> Column:
+    """The places of a key in a filter: h1 + i * h2 in 32 bits, modulo its size, with the halves of a 64-bit hash."""
+    h = fnv1a64(key)
+    step = h["hi"].bitwiseOR(F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: (h["lo"] + i * step).bitwiseAND(F.lit(MASK32)) % F.lit(bits))
+
+
+def bloom(members: DataFrame, key: str, bits: int) -> DataFrame:
+    """A Bloom filter of a column's keys as a table (word, mask) of 32-bit words that aren't 0; it is of bits / 32 rows at most."""
+    at = members.select(F.explode(probes(F.col(key), bits)).alias("at"))
+    one = F.lit(1).cast("long")
+    return at.groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("at") % 32).cast("int"))).alias("mask"))
+
+
+def might_contain(rows: DataFrame, key: str, filter: DataFrame, bits: int) -> DataFrame:
+    """The distinct keys of rows with might_contain: false only for keys that aren't members."""
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    asked = keys.select(key, F.explode(probes(F.col(key), bits)).alias("at")).withColumn("word", F.floor(F.col("at") / 32))
+    hit = F.coalesce(F.getbit("mask", (F.col("at") % 32).cast("int")), F.lit(0)) == 1
+    return asked.join(filter, "word", "left").groupBy(key).agg(F.bool_and(hit).alias("might_contain"))

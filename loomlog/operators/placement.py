@@ -117,17 +117,40 @@ def settled(states: DataFrame, num: int) -> DataFrame:
     return states.groupBy("node").agg(F.bool_and((F.col("num") == num) & F.col("state").isin(ABSENT, SERVING)).alias("settled"))
 
 
-def export(state: DataFrame, dedup: DataFrame, shard: int) -> DataFrame:
-    """(kind, key, value) of a shard: its data and its clients' last numbers, which move with it."""
-    data = state.where(F.col("shard") == shard).select(F.lit("data").alias("kind"), "key", "value")
-    last = dedup.where(F.col("shard") == shard).select(F.lit("dedup").alias("kind"), F.col("client_id").cast("string").alias("key"), F.col("seq").cast("string").alias("value"))
-    return data.unionByName(last)
+def store(state: DataFrame, last: DataFrame) -> DataFrame:
+    """(kind, shard, key, value): what a group holds of its shards, their data and their clients' last numbers (shard, client_id, seq)."""
+    data = state.select(F.lit("data").alias("kind"), "shard", "key", "value")
+    return data.unionByName(last.select(F.lit("dedup").alias("kind"), "shard", F.col("client_id").cast("string").alias("key"), F.col("seq").cast("string").alias("value")))
 
 
-def install(target: DataFrame, image: DataFrame, shard: int) -> DataFrame:
-    """target (key, shard, value) with a shard's data; to install it again changes nothing."""
-    new = image.where("kind = 'data'").select("key", F.lit(shard).alias("shard"), "value")
-    return target.join(new, ["key", "shard"], "left_anti").unionByName(new)
+def last_numbers(held: DataFrame) -> DataFrame:
+    """(shard, client_id, seq) of a store."""
+    return held.where("kind = 'dedup'").select("shard", F.col("key").cast("long").alias("client_id"), F.col("value").cast("long").alias("seq"))
+
+
+def export(held: DataFrame, shards: Sequence[int]) -> DataFrame:
+    """The rows of a store that move with the shards: data and last numbers, so that a retry after the move is still known."""
+    return held.where(F.col("shard").isin(list(shards)))
+
+
+def _pulling(states: DataFrame, num: int) -> DataFrame:
+    return states.where((F.col("state") == PULLING) & (F.col("num") == num)).select("shard")
+
+
+def install(target: DataFrame, image: DataFrame, states: DataFrame, num: int) -> DataFrame:
+    """The store target with an image of shards, both (kind, shard, key, value).
+
+    states (shard, state, num) are the target's, with the number of its configuration. Only a shard that is still being pulled for
+    configuration num goes in: an image that comes again after new writes changes nothing. A group has 64 states.
+    """
+    new = image.join(F.broadcast(_pulling(states, num)), "shard", "left_semi").select(target.columns)
+    return target.join(new, ["kind", "shard", "key"], "left_anti").unionByName(new)
+
+
+def installed(states: DataFrame, shards: Sequence[int], num: int) -> DataFrame:
+    """The target's states after an image of shards: those that were pulled are to be cleaned at their old group."""
+    came = F.col("shard").isin(list(shards)) & (F.col("num") == num)
+    return states.withColumn("state", F.when(came, next_state(F.col("state"), F.lit("install"))).otherwise(F.col("state")))
 
 
 def delete(state: DataFrame, offered: DataFrame) -> DataFrame:

@@ -38,3 +38,28 @@ def agreement(entries: DataFrame) -> DataFrame:
 def leaders(claims: DataFrame) -> DataFrame:
     """claims (term, leader): a term has one leader at most."""
     return claims.groupBy("term").agg(F.count_distinct("leader").alias("leaders")).withColumn("valid", F.col("leaders") <= 1)
+
+
+def gaps(records: DataFrame, base: int) -> DataFrame:
+    """Records over the base whose index is past the end of the log at that time, with that end: such a log can't be read.
+
+    After a record the log ends at its index, since it cuts off what was there from it on.
+    """
+    kept = records.where(F.col("idx") > base)
+    kept = kept.withColumn("log_end", F.coalesce(F.lag("idx").over(Window.partitionBy("node").orderBy("rec_no")), F.lit(base)))
+    return kept.where(F.col("idx") > F.col("log_end") + 1)
+
+
+def recovered(records: DataFrame, compactions: DataFrame, files: DataFrame) -> DataFrame:
+    """What each node has after a restart: its compaction point, whether its snapshot file counts, and the entries kept.
+
+    records (node, rec_no, idx, ..) after the compaction; compactions (node, base, term); files (node, idx, term) are
+    the snapshots found. A file counts only if index and term are those of the compaction: a crash between two writes leaves an older one.
+    """
+    found = files.select("node", F.col("idx").alias("base"), "term", F.lit(True).alias("match"))
+    point = compactions.join(found, ["node", "base", "term"], "left").select("node", "base", F.coalesce("match", F.lit(False)).alias("snapshot"))
+    live = records.join(point, "node").where(F.col("idx") > F.col("base"))
+    later = Window.partitionBy("node").orderBy(F.desc("rec_no")).rowsBetween(Window.unboundedPreceding, -1)
+    live = live.withColumn("cut", F.min("idx").over(later)).where(F.col("cut").isNull() | (F.col("cut") > F.col("idx")))
+    kept = live.groupBy("node").agg(F.count("*").alias("entries"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+    return point.join(kept, "node", "left").select("node", "base", "snapshot", F.coalesce("entries", F.lit(0)).alias("entries"), "first_idx", "last_idx")

@@ -9,22 +9,35 @@ from pyspark.sql.window import Window
 WRITES = ("PUT", "APPEND", "DELETE")
 
 
-def accepted(log: DataFrame) -> DataFrame:
+def accepted(log: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """Writes with the flag accepted: the sequence number is over all earlier ones of its client in its shard (0 before the first).
 
-    Not a set: a number that comes after a higher one is dropped though it never took effect. Reads don't count.
+    Not a set: a number that comes after a higher one is dropped though it never took effect. Reads don't count. last
+    (shard, client_id, seq) are numbers that came with a snapshot or with a shard that moved here.
     """
     before = Window.partitionBy("shard", "client_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return log.where(F.col("op") != "GET").withColumn("accepted", F.col("seq") > F.coalesce(F.max("seq").over(before), F.lit(0)))
+    writes, known = log.where(F.col("op") != "GET"), F.lit(0)
+    if last is not None:
+        writes = writes.join(last.select("shard", "client_id", F.col("seq").alias("known")), ["shard", "client_id"], "left")
+        known = F.coalesce("known", F.lit(0))
+    return writes.withColumn("accepted", F.col("seq") > F.greatest(F.coalesce(F.max("seq").over(before), F.lit(0)), known)).drop("known")
 
 
-def replay(log: DataFrame, as_of: int | None = None) -> DataFrame:
+def last_numbers(log: DataFrame) -> DataFrame:
+    """(shard, client_id, seq): the highest number of each client in a shard, which a snapshot keeps and a migration takes along."""
+    return log.where(F.col("op") != "GET").groupBy("shard", "client_id").agg(F.max("seq").alias("seq"))
+
+
+def replay(log: DataFrame, as_of: int | None = None, snapshot: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
     """(key, shard, value) of each live key after the accepted writes up to as_of.
 
     A put or delete starts a key's epoch; only the last epoch is gathered, so what came before never
-    reaches one task. An append to a missing key acts as a put.
+    reaches one task. An append to a missing key acts as a put. With a snapshot (key, shard, value) and its last numbers
+    (see accepted), the log is what came after it.
     """
-    writes = accepted(log if as_of is None else log.where(F.col("idx") <= as_of)).where("accepted")
+    writes = accepted(log if as_of is None else log.where(F.col("idx") <= as_of), last).where("accepted").select("shard", "key", "idx", "op", "val")
+    if snapshot is not None:
+        writes = writes.unionByName(snapshot.select("shard", "key", F.lit(-1).cast("long").alias("idx"), F.lit("PUT").alias("op"), F.col("value").alias("val")))
     last = writes.where(F.col("op").isin("PUT", "DELETE")).groupBy("shard", "key").agg(F.max("idx").alias("epoch"))
     kept = writes.join(last, ["shard", "key"], "left").where((F.col("idx") >= F.coalesce("epoch", F.lit(-1))) & (F.col("op") != "DELETE"))
     parts = F.array_sort(F.collect_list(F.struct("idx", "val")))

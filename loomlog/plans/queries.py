@@ -6,7 +6,7 @@ values and times as stand-ins for latencies.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from loomlog.functions import codecs
 from loomlog.functions.hashing import SHARDS, key_shard
 from loomlog.operators import history, lsm, measure, placement, raft, state
-from loomlog.sources.tables import commands, kv_log, kv_log_reordered, table
+from loomlog.sources.tables import commands, kv_log, kv_log_reordered, shared_dir, table
 from loomlog.streaming import state_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,14 @@ def kv_state_asof(spark, d):
     return state.replay(kv_log(spark, d), AS_OF)
 
 
+@query(f"WITH {LATE}, {_state()} SELECT key, shard, value FROM st")
+def kv_resume(spark, d):
+    """The state as of an index and the last numbers then, and the rest of the log on top of them."""
+    log = kv_log_reordered(spark, d)
+    first = log.where(F.col("idx") <= AS_OF)
+    return state.replay(log.where(F.col("idx") > AS_OF), snapshot=state.replay(first), last=state.last_numbers(first))
+
+
 DEDUP = "SELECT shard, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS duplicates FROM acc GROUP BY shard"
 
 
@@ -113,11 +121,48 @@ def kv_shard_of(spark, d):
     return keys.union(table(spark, d, "part").select("p_name")).distinct().withColumn("shard", key_shard(F.col("key")))
 
 
-def _values(configs) -> str:
-    return "cfg(num, shard, gid) AS (VALUES " + ", ".join(f"({c.num}, {s}, {g})" for c in configs for s, g in enumerate(c.shards)) + ")"
-
-
-@query(f"WITH {_values(CONFIGS[-1:])}, {LOG} SELECT gid, count(*) AS requests, count(DISTINCT key) AS keys FROM log JOIN cfg USING (shard) GROUP BY gid")
+# The ring and all configurations in SQL alone, from the list of changes: 64-bit arithmetic in 128-bit integers, and a
+# recursion over changes and, within one, over shards.
+WORD = 1 << 64
+
+
+def _octets(word: str) -> str:
+    return ", ".join(f"CAST(({word}) // {256**i} % 256 AS UHUGEINT)" for i in range(8))
+
+
+def _mixed(*words: str) -> str:
+    h = f"list_reduce([14695981039346656037::UHUGEINT, {', '.join(map(_octets, words))}], lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {WORD}::UHUGEINT)"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = f"list_transform([{h}], lambda x: (xor(x, x // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {WORD}::UHUGEINT)[1]"
+    return f"list_transform([{h}], lambda x: xor(x, x // {1 << 31}::UHUGEINT))[1]"
+
+
+RING = f"""pts AS MATERIALIZED (SELECT g.range AS gid, {_mixed("g.range", "v.range")} AS h FROM range(1, 11) g, range(64) v),
+spot AS MATERIALIZED (SELECT range AS shard, {_mixed(str(0x5348415244), "range")} AS h FROM range(64)),
+near AS (SELECT shard, gid, min((pts.h < spot.h, pts.h)) AS place FROM spot, pts GROUP BY ALL),
+pref AS MATERIALIZED (SELECT shard, list(gid ORDER BY place, gid) AS gids FROM near GROUP BY shard)"""
+ASSIGNED = """asg(n, shard, gid, load) AS (SELECT range, -1, 0, [0 for i in range(10)] FROM range(1, 11) UNION ALL
+SELECT n, shard, gid, list_transform(load, lambda x, i: CASE WHEN i = gid THEN x + 1 ELSE x END) FROM
+ (SELECT a.n, p.shard, a.load, list_filter(p.gids, lambda g: g <= a.n AND a.load[g] < ceil(80.0 / a.n))[1] AS gid FROM asg a JOIN pref p ON p.shard = a.shard + 1))"""
+_args = ", ".join(f"({k}, '{c[0]}', {list(c[1]) if c[0] != 'move' else list(c[1:])})" for k, c in enumerate(CHANGES, 1))
+CFG = f"""{RING}, chg(k, kind, args) AS (VALUES {_args}),
+cs(num, k, s, gids, pins, load, shards) AS (
+SELECT 0, 0, 64, CAST([] AS BIGINT[]), [CAST(0 AS BIGINT) for i in range(64)], [CAST(0 AS BIGINT) for i in range(10)], [CAST(0 AS BIGINT) for i in range(64)]
+UNION ALL SELECT * FROM (
+SELECT num, k, s + 1, gids, pins, CASE WHEN pins[s + 1] = 0 THEN list_transform(load, lambda x, i: CASE WHEN i = gid THEN x + 1 ELSE x END) ELSE load END, list_append(shards, gid) FROM
+ (SELECT cs.*, CASE WHEN pins[s + 1] <> 0 THEN pins[s + 1] WHEN len(cs.gids) = 0 THEN 0 ELSE list_filter(p.gids, lambda g: list_contains(cs.gids, g) AND load[g] < ceil(80.0 / len(cs.gids)))[1] END AS gid FROM cs JOIN pref p ON p.shard = s WHERE s < 64)
+UNION ALL
+SELECT num + 1, k, 0, gids, pins, list_transform([CAST(range AS BIGINT) for range in range(1, 11)], lambda g: CAST(len(list_filter(pins, lambda p: p = g)) AS BIGINT)), CAST([] AS BIGINT[]) FROM
+ (SELECT num, c.k, g.gids, list_transform(pins, lambda p: CASE WHEN list_contains(g.gids, p) THEN p ELSE 0 END) AS pins FROM cs JOIN chg c ON c.k = cs.k + 1,
+  LATERAL (SELECT CASE WHEN c.kind = 'join' THEN list_distinct(list_concat(cs.gids, CAST(c.args AS BIGINT[]))) ELSE list_filter(cs.gids, lambda x: NOT list_contains(c.args, x)) END AS gids) g WHERE s = 64 AND c.kind <> 'move')
+UNION ALL
+SELECT CASE WHEN ok THEN num + 1 ELSE num END, k, 64, gids, CASE WHEN ok THEN list_transform(pins, lambda p, i: CASE WHEN i = a + 1 THEN b ELSE p END) ELSE pins END, load, CASE WHEN ok THEN list_transform(shards, lambda p, i: CASE WHEN i = a + 1 THEN b ELSE p END) ELSE shards END FROM
+ (SELECT num, c.k, gids, pins, load, shards, CAST(c.args[1] AS BIGINT) AS a, CAST(c.args[2] AS BIGINT) AS b, list_contains(gids, c.args[2]) AND c.args[1] BETWEEN 0 AND 63 AS ok FROM cs JOIN chg c ON c.k = cs.k + 1 WHERE s = 64 AND c.kind = 'move'))),
+cfg AS MATERIALIZED (SELECT CAST(num AS BIGINT) AS num, CAST(unnest(range(64)) AS INTEGER) AS shard, unnest(shards) AS gid FROM (SELECT DISTINCT num, shards FROM cs WHERE s = 64))"""
+LATEST = f"{CFG}, latest AS (SELECT * FROM cfg WHERE num = (SELECT max(num) FROM cfg))"
+
+
+@query(f"WITH RECURSIVE {LATEST}, {LOG} SELECT gid, count(*) AS requests, count(DISTINCT key) AS keys FROM log JOIN latest USING (shard) GROUP BY gid")
 def kv_route(spark, d):
     out = state.route(kv_log(spark, d).select("key", "shard"), placement.table(spark, CONFIGS[-1:]))
     return out.groupBy("gid").agg(F.count("*").alias("requests"), F.count_distinct("key").alias("keys"))
@@ -171,13 +216,34 @@ def lsm_stats(spark, d):
 
 
 @query(
-    f"""WITH {SOURCES}, old AS (SELECT key, value FROM (SELECT * FROM src WHERE source_rank >= 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY source_rank) = 1) WHERE kind = 1)
+    f"""WITH {SOURCES}, old AS (SELECT key, value FROM (SELECT * FROM src WHERE source_rank >= 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY source_rank) = 1) WHERE kind = 1)
 SELECT key, CASE WHEN o.value IS NULL THEN 'added' WHEN l.value IS NULL THEN 'removed' ELSE 'changed' END AS change, o.value AS left_value, l.value AS right_value
 FROM old o FULL JOIN live l USING (key) WHERE o.value IS DISTINCT FROM l.value"""
 )
 def lsm_diff(spark, d):
     src = _sources(spark, d)
-    return lsm.diff(lsm.compact(src.where("source_rank >= 1")), lsm.compact(src))
+    return lsm.diff(lsm.compact(src.where("source_rank >= 2")), lsm.compact(src))
+
+
+HASH64 = f"list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {WORD}::UHUGEINT)"
+
+
+@query(
+    f"""WITH c AS (SELECT 'c' || c_custkey AS key, c_custkey % 2 = 0 AS member FROM customer), n AS (SELECT count(*) FILTER (member) AS members, ceil(greatest(64, 10 * count(*) FILTER (member)) / 8.0) * 8 AS bits FROM c),
+h AS (SELECT key, member, CAST(x % {1 << 32}::UHUGEINT AS BIGINT) AS h1, CAST(x // {1 << 32}::UHUGEINT AS BIGINT) | 1 AS h2 FROM (SELECT key, member, {HASH64} AS x FROM c)),
+p AS (SELECT key, member, (h1 + unnest(range(7)) * h2) % {1 << 32} % CAST(bits AS BIGINT) AS place FROM h, n), held AS (SELECT DISTINCT place FROM p WHERE member),
+m AS (SELECT key, any_value(member) AS member, bool_and(place IN (SELECT place FROM held)) AS might FROM p GROUP BY key)
+SELECT any_value(CAST(bits AS BIGINT)) AS bits, any_value(members) AS members, count(*) FILTER (member AND NOT might) AS missed, count(*) FILTER (NOT member) AS others, count(*) FILTER (NOT member AND might) AS false_positives FROM m, n"""
+)
+def bloom_false_positives(spark, d):
+    """A filter of every second customer asked for all of them."""
+    keys = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"), (F.col("c_custkey") % 2 == 0).alias("member"))
+    members = keys.where("member").count()
+    bits = lsm.bloom_bits(members)
+    asked = lsm.might_contain(keys, "key", lsm.bloom(keys.where("member"), "key", bits), bits).join(keys, "key")
+    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
+    might, member = F.col("might_contain"), F.col("member")
+    return asked.agg(F.lit(bits).cast("long").alias("bits"), F.lit(members).cast("long").alias("members"), count(member & ~might, "missed"), count(~member, "others"), count(~member & might, "false_positives"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000)")
@@ -211,6 +277,36 @@ def log_compact(spark, d):
     return kept.groupBy("node").agg(F.count("*").alias("entries"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
+# A log of its own for each node, dense but for rewrites and some gaps.
+DENSE = "dense AS (SELECT *, CASE WHEN rec_no % 41 = 0 THEN rec_no - 7 WHEN rec_no % 59 = 0 THEN rec_no + 3 ELSE rec_no END AS idx FROM (SELECT user_id % 5 AS node, event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS rec_no FROM events))"
+
+
+def _dense(spark, d):
+    ev = table(spark, d, "events").select((F.col("user_id") % 5).alias("node"), "event_id")
+    ev = ev.withColumn("rec_no", F.row_number().over(Window.partitionBy("node").orderBy("event_id")).cast("long"))
+    n = F.col("rec_no")
+    return ev.withColumn("idx", F.when(n % 41 == 0, n - 7).when(n % 59 == 0, n + 3).otherwise(n))
+
+
+@query(f"WITH {DENSE}, g AS (SELECT node, rec_no, idx, coalesce(lag(idx) OVER (PARTITION BY node ORDER BY rec_no), 50) AS log_end FROM dense WHERE idx > 50) SELECT * FROM g WHERE idx > log_end + 1")
+def raft_log_gaps(spark, d):
+    return raft.gaps(_dense(spark, d).drop("event_id"), 50)
+
+
+@query(
+    f"""WITH {DENSE}, c AS (SELECT range AS node, 20 + 10 * range AS base, 3 AS term FROM range(6)), f AS (SELECT range AS node, 20 + 10 * range - CASE WHEN range = 1 THEN 10 ELSE 0 END AS idx, CASE WHEN range = 2 THEN 2 ELSE 3 END AS term FROM range(5)),
+r AS (SELECT d.node, rec_no, idx, min(idx) OVER (PARTITION BY d.node ORDER BY rec_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cut FROM dense d JOIN c ON c.node = d.node WHERE idx > base),
+k AS (SELECT node, count(*) AS entries, min(idx) AS first_idx, max(idx) AS last_idx FROM r WHERE cut IS NULL OR cut > idx GROUP BY node)
+SELECT c.node, c.base, EXISTS (SELECT 1 FROM f WHERE f.node = c.node AND f.idx = c.base AND f.term = c.term) AS snapshot, coalesce(entries, 0) AS entries, first_idx, last_idx FROM c LEFT JOIN k ON k.node = c.node"""
+)
+def raft_recovery(spark, d):
+    """Nodes with a snapshot of their compaction, of an older index, of another term, and without one; node 5 has no entries."""
+    n = F.col("id")
+    compactions = spark.range(6).select(n.alias("node"), (20 + 10 * n).alias("base"), F.lit(3).alias("term"))
+    files = spark.range(5).select(n.alias("node"), (20 + 10 * n - F.when(n == 1, 10).otherwise(0)).alias("idx"), F.when(n == 2, 2).otherwise(3).alias("term"))
+    return raft.recovered(_dense(spark, d), compactions, files)
+
+
 ACKS = "acks AS (SELECT user_id % 11 AS group_id, event_id % 5 AS node, max(event_id) AS match_idx FROM events GROUP BY ALL)"
 
 
@@ -253,24 +349,24 @@ def leaders_per_term(spark, d):
 # Placement
 
 
-@query()
+@query(f"WITH RECURSIVE {RING}, {ASSIGNED} SELECT CAST(n AS INTEGER) AS groups, CAST(shard AS INTEGER) AS shard, CAST(gid AS BIGINT) AS gid FROM asg WHERE shard >= 0")
 def ring_assign(spark, d):
     rows = [(n, s, g) for n in range(1, 11) for s, g in enumerate(placement.assign(range(1, n + 1)))]
     return spark.createDataFrame(rows, "groups int, shard int, gid long")
 
 
-@query()
+@query(f"WITH {RING} SELECT CAST(shard AS INTEGER) AS shard, CAST(arg_min(gid, (place, gid)) AS BIGINT) AS gid FROM near WHERE gid <= 5 GROUP BY shard")
 def ring_owner(spark, d):
     ring = placement.Ring([1, 2, 3, 4, 5])
     return spark.createDataFrame([(s, ring.owner(s)) for s in range(SHARDS)], "shard int, gid long")
 
 
-@query(f"WITH {_values(CONFIGS)} SELECT num, gid, count(*) AS shards FROM cfg GROUP BY ALL")
+@query(f"WITH RECURSIVE {CFG} SELECT num, gid, count(*) AS shards FROM cfg GROUP BY ALL")
 def cfg_history(spark, d):
     return placement.table(spark, CONFIGS).groupBy("num", "gid").agg(F.count("*").alias("shards"))
 
 
-@query(f"WITH {_values(CONFIGS)} SELECT 'negative' AS asked, * FROM cfg WHERE num = (SELECT max(num) FROM cfg) UNION ALL SELECT 'third', * FROM cfg WHERE num = 3 UNION ALL SELECT 'past', * FROM cfg WHERE num = (SELECT max(num) FROM cfg)")
+@query(f"WITH RECURSIVE {CFG} SELECT 'negative' AS asked, * FROM cfg WHERE num = (SELECT max(num) FROM cfg) UNION ALL SELECT 'third', * FROM cfg WHERE num = 3 UNION ALL SELECT 'past', * FROM cfg WHERE num = (SELECT max(num) FROM cfg)")
 def cfg_query(spark, d):
     cfg = placement.table(spark, CONFIGS)
     parts = [placement.query(cfg, n).select(F.lit(name).alias("asked"), "num", "shard", "gid") for name, n in (("negative", -1), ("third", 3), ("past", 99))]
@@ -288,12 +384,12 @@ def ctrl_dedup(spark, d):
 MOVED = "mv AS (SELECT *, lag(gid) OVER (PARTITION BY shard ORDER BY num) AS prev_gid FROM cfg), tr AS (SELECT num, shard, gid, prev_gid, CASE WHEN gid = 0 THEN 0 WHEN prev_gid = 0 THEN 1 ELSE 2 END AS gained_state, CASE WHEN prev_gid = 0 THEN 0 ELSE 3 END AS lost_state FROM mv WHERE prev_gid <> gid)"
 
 
-@query(f"WITH {_values(CONFIGS)}, {MOVED} SELECT * FROM tr")
+@query(f"WITH RECURSIVE {CFG}, {MOVED} SELECT * FROM tr")
 def shard_transitions(spark, d):
     return placement.transitions(placement.table(spark, CONFIGS))
 
 
-@query(f"WITH {_values(CONFIGS)}, {MOVED} SELECT num, gid, prev_gid, string_agg(shard, ',' ORDER BY shard) AS shards, count(*) AS moves FROM tr WHERE gained_state = 2 GROUP BY num, gid, prev_gid")
+@query(f"WITH RECURSIVE {CFG}, {MOVED} SELECT num, gid, prev_gid, string_agg(shard, ',' ORDER BY shard) AS shards, count(*) AS moves FROM tr WHERE gained_state = 2 GROUP BY num, gid, prev_gid")
 def migration_plan(spark, d):
     return placement.plan(placement.table(spark, CONFIGS))
 
@@ -316,53 +412,49 @@ def shard_states(spark, d):
     return rows.withColumn("after", placement.next_state(F.col("state"), F.col("event"))).groupBy("state", "event", "after").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_values(CONFIGS[-1:])} SELECT range AS gid FROM range(1, 9) WHERE range NOT IN (SELECT gid FROM cfg)")
+@query(f"WITH RECURSIVE {LATEST} SELECT range AS gid FROM range(1, 9) WHERE range NOT IN (SELECT gid FROM latest)")
 def bootstrap_groups(spark, d):
     return placement.missing_groups(spark.range(1, 9).withColumnRenamed("id", "gid"), placement.table(spark, CONFIGS))
 
 
-EXPORT = "SELECT 'data' AS kind, key, value FROM st WHERE shard = {0} UNION ALL SELECT 'dedup', CAST(client_id AS VARCHAR), CAST(max(seq) AS VARCHAR) FROM acc WHERE shard = {0} GROUP BY client_id"
+HELD = "held AS (SELECT 'data' AS kind, shard, key, value FROM st UNION ALL SELECT 'dedup', shard, CAST(client_id AS VARCHAR), CAST(max(seq) AS VARCHAR) FROM acc GROUP BY shard, client_id)"
 
 
-def _image(spark, d, shard: int) -> DataFrame:
+def _held(spark, d) -> DataFrame:
     log = kv_log(spark, d)
-    last = log.where("op <> 'GET'").groupBy("shard", "client_id").agg(F.max("seq").alias("seq"))
-    return placement.export(state.replay(log), last, shard)
+    return placement.store(state.replay(log), state.last_numbers(log))
 
 
-@query(f"WITH {LOG}, {_state()} {EXPORT.format(21)}")
+@query(f"WITH {LOG}, {_state()}, {HELD} SELECT * FROM held WHERE shard = 21")
 def shard_export(spark, d):
-    return _image(spark, d, 21)
+    return placement.export(_held(spark, d), [21])
 
 
-@query(f"WITH {LOG}, {_state()} SELECT key, shard, value FROM st WHERE shard = 21 OR shard < 16")
+@query(
+    f"""WITH {LOG}, {_state()}, {HELD} SELECT kind, shard, key, CASE WHEN shard <> 21 THEN value WHEN kind = 'data' THEN value || '+' ELSE CAST(CAST(value AS BIGINT) + 1 AS VARCHAR) END AS value FROM held WHERE shard = 21 OR shard < 16"""
+)
 def shard_install(spark, d):
-    target = state.replay(kv_log(spark, d)).where("shard < 16")
-    image = _image(spark, d, 21)
-    return placement.install(placement.install(target, image, 21), image, 21)
-
-
-@query(f"WITH {_values(CONFIGS)}, {MOVED}, {LOG}, {_state()} SELECT key, shard, value FROM st WHERE shard NOT IN (SELECT shard FROM tr WHERE num = 4 AND lost_state = 3)")
+    """Shards 21 and 22 come to a group that pulls 21; then each of its keys is written again, and the image comes a second time."""
+    held = _held(spark, d)
+    image = placement.export(held, [21, 22])
+    states = spark.createDataFrame([(s, 2 if s == 21 else int(s < 16), 7) for s in range(SHARDS)], "shard int, state int, num long")
+    target = placement.install(held.where("shard < 16"), image, states, 7)
+    states = placement.installed(states, [21, 22], 7)
+    again = F.when(F.col("kind") == "data", F.concat("value", F.lit("+"))).otherwise((F.col("value").cast("long") + 1).cast("string"))
+    target = target.withColumn("value", F.when(F.col("shard") == 21, again).otherwise(F.col("value")))
+    return placement.install(target, image, states, 7)
+
+
+@query(f"WITH RECURSIVE {CFG}, {MOVED}, {LOG}, {_state()} SELECT key, shard, value FROM st WHERE shard NOT IN (SELECT shard FROM tr WHERE num = 4 AND lost_state = 3)")
 def shard_delete(spark, d):
     offered = placement.transitions(placement.table(spark, CONFIGS)).where("num = 4 AND lost_state = 3")
     return placement.delete(state.replay(kv_log(spark, d)), offered)
 
 
-@query(f"WITH {LOG}, {_state()} SELECT shard, count(*) AS keys, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM st GROUP BY shard")
+@query(f"WITH {LOG}, {_state()} SELECT shard, key, value FROM st")
 def snapshot_roundtrip(spark, d):
-    """A state as pairs of bytes by shard and back."""
-    kept = state.replay(kv_log(spark, d))
-
-    def both_ways(batches):
-        import pandas as pd
-
-        for t in batches:
-            image = codecs.encode_pairs((k.encode(), v.encode()) for k, v in zip(t["key"], t["value"], strict=True))
-            pairs = list(codecs.decode_pairs(image))
-            yield pd.DataFrame({"shard": t["shard"].to_numpy(), "key": [k.decode() for k, _ in pairs], "value": [v.decode() for _, v in pairs]})
-
-    back = kept.select("shard", "key", "value").mapInPandas(both_ways, "shard int, key string, value string")
-    return back.groupBy("shard").agg(F.count("*").alias("keys"), F.sum(F.octet_length("value")).alias("bytes"))
+    """A state as images of pairs of one shard each, and back."""
+    return codecs.unpacked(codecs.packed(state.replay(kv_log(spark, d))))
 
 
 @query("WITH p AS (SELECT s_suppkey AS node, s_suppkey % 3 AS side FROM supplier) SELECT a.node AS from_node, count(*) AS reached FROM p a JOIN p b ON a.side = b.side AND a.node <> b.node GROUP BY 1")
@@ -393,9 +485,9 @@ def lin_stale_reads(spark, d):
     return history.stale_reads(_stale_history(spark, d))
 
 
-@query()
+@query("WITH h AS (SELECT 'k' || json_extract_string(props, '$.k') || '.' || (event_id // 2000) AS key, event_type = 'view' AND event_id % 499 = 0 AS wrong FROM events WHERE event_type <> 'error') SELECT key, count(*) AS ops, CASE WHEN bool_or(wrong) THEN 'Illegal' ELSE 'Ok' END AS verdict FROM h GROUP BY key")
 def lin_check(spark, d):
-    """Each key's events as a sequential history with some overlap, where each read gives what its place says, but for planted stale reads."""
+    """Each key's events as a history with some overlap, where each read gives what the order of calls says, but for planted reads of what was never written."""
     log = commands(spark, d).where("op <> 'DELETE'").withColumn("key", F.concat("key", F.lit("."), F.floor(F.col("event_id") / 2000)))
     order = Window.partitionBy("key").orderBy("event_id")
     put = F.max(F.when(F.col("op") == "PUT", F.col("event_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -404,10 +496,18 @@ def lin_check(spark, d):
     value = F.array_join(F.collect_list(F.when(F.col("op") != "GET", F.col("val"))).over(upto), "")
     out = F.when(F.col("op") == "GET", F.when(F.col("event_id") % 499 == 0, "stale").otherwise(value))
     call = F.col("event_id") * 10
-    hist = marked.select("key", F.lower("op").alias("op"), F.col("val").alias("value"), out.alias("out"), call.alias("call_ns"), (call + 5).alias("return_ns"))
+    hist = marked.select("key", F.lower("op").alias("op"), F.col("val").alias("value"), out.alias("out"), call.alias("call_ns"), (call + 5 + F.col("event_id") % 3 * 400).alias("return_ns"))
     return history.check(hist)
 
 
+@query(
+    """WITH w AS (SELECT c.range AS client, n.range AS n FROM range(6) c, range(100) n), r AS (SELECT client, n, CAST('0x' || substr(md5('9:op:' || client || ':' || n), 1, 12) AS BIGINT) % 10 AS p, CAST('0x' || substr(md5('9:key:' || client || ':' || n), 1, 12) AS BIGINT) % 4 AS k FROM w)
+SELECT CAST(client AS INTEGER) AS client, CAST(n AS INTEGER) AS n, CASE WHEN p < 5 THEN 'get' WHEN p < 7 THEN 'put' ELSE 'append' END AS op, 'k' || k AS key, CASE WHEN p >= 5 THEN '[' || client || '.' || n || ']' END AS value FROM r"""
+)
+def lin_workload(spark, d):
+    return history.workload(spark, 6, 100, 4, 9)
+
+
 @query("SELECT event_id AS seed, CASE WHEN event_id % 10 = 0 THEN 'sharded' ELSE list_extract(['basic', 'unreliable', 'partitions', 'crash'], CAST(event_id % 4 + 1 AS INTEGER)) END AS scenario FROM events")
 def lin_pick(spark, d):
     return history.pick(table(spark, d, "events").select(F.col("event_id").alias("seed")), 10, ["basic", "unreliable", "partitions", "crash"])
@@ -433,6 +533,27 @@ def acked_lost(spark, d):
     return history.lost_writes(orders.select("key", F.concat(F.lit("v-"), "key").alias("value")), held)
 
 
+KILLED = "it AS (SELECT range AS it, CASE range % 3 WHEN 0 THEN 'leader' WHEN 1 THEN 'minority' ELSE 'all' END AS kind FROM range(64)), acked AS (SELECT o_orderkey % 60 AS it, 'o' || o_orderkey AS key, 'v-o' || o_orderkey AS value FROM orders)"
+
+
+@query(
+    f"""WITH {KILLED}, per AS (SELECT it, kind, coalesce(n, 0) AS acked, coalesce(sum(coalesce(n, 0)) OVER (ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS older FROM it LEFT JOIN (SELECT it, count(*) AS n FROM acked GROUP BY it) USING (it)),
+pl AS (SELECT *, row_number() OVER (ORDER BY it, key) - 1 AS place FROM acked), j AS (SELECT range AS j FROM range(200)),
+dr AS (SELECT it, CAST('0x' || substr(md5('1:' || it || ':' || j), 1, 12) AS BIGINT) % {1 << 40} % CAST(older AS BIGINT) AS place FROM per, j WHERE older > 0),
+asked AS (SELECT it, key, value FROM acked UNION ALL SELECT dr.it, key, value FROM dr JOIN pl USING (place)),
+held AS (SELECT key, CASE WHEN substr(key, 2)::BIGINT % 1500 = 11 THEN 'old' ELSE value END AS found FROM acked WHERE substr(key, 2)::BIGINT % 1000 <> 7),
+c AS (SELECT it, count(*) AS checked, count(*) FILTER (value IS DISTINCT FROM found) AS lost FROM asked LEFT JOIN held USING (key) GROUP BY it)
+SELECT it, kind, acked, coalesce(checked, 0) AS checked, coalesce(lost, 0) AS lost, coalesce(lost, 0) = 0 AND (acked > 0 OR kind = 'all') AS valid FROM per LEFT JOIN c USING (it)"""
+)
+def crash_audit(spark, d):
+    """64 iterations of kills; the last four acknowledge nothing."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("key"))
+    acked = orders.select((F.col("o_orderkey") % 60).alias("it"), "key", F.concat(F.lit("v-"), "key").alias("value"))
+    held = orders.where("o_orderkey % 1000 <> 7").select("key", F.when(F.col("o_orderkey") % 1500 == 11, "old").otherwise(F.concat(F.lit("v-"), "key")).alias("value"))
+    kind = F.when(F.col("id") % 3 == 0, "leader").when(F.col("id") % 3 == 1, "minority").otherwise("all")
+    return history.crash_audit(acked, held, spark.range(64).select(F.col("id").alias("it"), kind.alias("kind")))
+
+
 @query(
     """WITH w AS (SELECT l_orderkey % 500 AS run, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem),
 n AS (SELECT run, count(*) AS n FROM w GROUP BY run)
@@ -519,20 +640,70 @@ def state_gauges(spark, d):
     return kv_log(spark, d).groupBy("shard").agg(F.max("idx").alias("last_idx"), F.max(F.when(F.col("op") != "GET", F.col("idx"))).alias("applied"), F.count("*").alias("entries"), F.count_distinct("client_id").alias("clients"))
 
 
+PCT = "coalesce(max(us) FILTER (k = greatest(1, least(n, CAST(floor({q} * n + 0.5) AS BIGINT))) AND part = '{p}'), 0) / 1000 AS {c}"
+PARTS = [("all", 0.5, "p50_ms"), ("all", 0.99, "p99_ms"), ("all", 0.999, "p999_ms"), ("read", 0.5, "read_p50_ms"), ("read", 0.99, "read_p99_ms"), ("write", 0.5, "write_p50_ms"), ("write", 0.99, "write_p99_ms")]
+
+
+@query(
+    f"""WITH runs AS (SELECT range AS run, TIMESTAMP '2024-01-05' AS a, TIMESTAMP '2024-01-25' AS b FROM range(6)), s AS (SELECT user_id % 5 AS run, ts, event_type <> 'error' AND user_id % 5 <> 4 AS ok, event_type = 'view' AS is_read, CAST(floor(value * 1234567) AS BIGINT) AS lat_ns FROM events WHERE value IS NOT NULL),
+i AS (SELECT * FROM s JOIN runs USING (run) WHERE ts >= a AND ts < b), d AS (SELECT run, unnest(['all', CASE WHEN is_read THEN 'read' ELSE 'write' END]) AS part, lat_ns // 1000 AS us FROM i WHERE ok),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, part ORDER BY us) AS k, count(*) OVER (PARTITION BY run, part) AS n FROM d),
+g AS (SELECT run, count(*) FILTER (part = 'all') AS ops, count(*) FILTER (part = 'read') AS reads, count(*) FILTER (part = 'write') AS writes, {", ".join(PCT.format(p=p, q=q, c=c) for p, q, c in PARTS)} FROM r GROUP BY run),
+e AS (SELECT run, count(*) AS errors FROM i WHERE NOT ok GROUP BY run)
+SELECT run, 1728000.0::DOUBLE AS seconds, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("ops", "reads", "writes", *(x[2] for x in PARTS), "errors"))}, coalesce(ops, 0) / 1728000.0::DOUBLE AS ops_per_sec FROM runs LEFT JOIN g USING (run) LEFT JOIN e USING (run)"""
+)
+def bench_report(spark, d):
+    """Twenty days as the measured window; run 4 has failures only, and run 5 nothing."""
+    run = F.col("user_id") % 5
+    samples = table(spark, d, "events").where("value is not null").select(run.alias("run"), F.col("ts").alias("at"), ((F.col("event_type") != "error") & (run != 4)).alias("ok"), (F.col("event_type") == "view").alias("is_read"), F.floor(F.col("value") * 1234567).alias("lat_ns"))
+    kind = dict(table(spark, d, "events").dtypes)["ts"]
+    runs = spark.range(6).select(F.col("id").alias("run"), F.lit("2024-01-05").cast(kind).alias("start"), F.lit("2024-01-25").cast(kind).alias("stop"))
+    return measure.bench_report(samples, runs)
+
+
+@query(
+    """WITH s AS (SELECT user_id % 9 AS group_id, event_id AS n, CASE WHEN event_id % 23 = 0 THEN 'compact' ELSE 'flush' END AS step, event_id % 7 * 100 AS bytes FROM events), l AS (SELECT *, n >= coalesce(max(n) FILTER (step = 'compact') OVER (PARTITION BY group_id), -1) AND bytes > 0 AS live FROM s)
+SELECT group_id, count(*) FILTER (live) AS tables, CAST(coalesce(sum(bytes) FILTER (live), 0) AS BIGINT) AS table_bytes, count(*) FILTER (step = 'flush') AS flushes, count(*) FILTER (step = 'compact') AS compactions FROM l GROUP BY group_id"""
+)
+def store_gauges(spark, d):
+    e = F.col("event_id")
+    steps = table(spark, d, "events").select((F.col("user_id") % 9).alias("group_id"), e.alias("n"), F.when(e % 23 == 0, "compact").otherwise("flush").alias("step"), (e % 7 * 100).alias("bytes"))
+    return measure.store_gauges(steps)
+
+
+@query(
+    """WITH o AS (SELECT user_id % 9 AS group_id, event_id, event_id // 50 AS term, CASE WHEN event_type = 'error' THEN -1 ELSE event_id // 50 % 3 END AS leader, event_id - event_id % 13 AS commit_idx, event_id - event_id % 29 AS applied FROM events)
+SELECT group_id, max(term) AS term, arg_max(leader, event_id) AS leader, max(commit_idx) AS commit_idx, max(least(applied, commit_idx)) AS applied, max(event_id) - min(event_id) + 1 AS entries FROM o GROUP BY group_id"""
+)
+def raft_gauges(spark, d):
+    e = F.col("event_id")
+    leader = F.when(F.col("event_type") == "error", -1).otherwise(F.floor(e / 50) % 3)
+    seen = table(spark, d, "events").select((F.col("user_id") % 9).alias("group_id"), e.alias("at"), F.floor(e / 50).alias("term"), leader.alias("leader"), (e - e % 13).alias("commit_idx"), F.least(e - e % 29, e - e % 13).alias("applied"), e.alias("idx"))
+    return measure.raft_gauges(seen, "group_id", "at")
+
+
+@query(
+    """WITH p AS (SELECT -1 AS client, CAST(range AS INTEGER) AS n, 'put' AS op, 'key' || lpad(CAST(range AS VARCHAR), 8, '0') AS key, repeat('v', 100) AS value FROM range(50)), w AS (SELECT c.range AS client, n.range AS n FROM range(8) c, range(200) n),
+r AS (SELECT client, n, CAST('0x' || substr(md5('3:read:' || client || ':' || n), 1, 12) AS BIGINT) % 1000 < 900 AS rd, CAST('0x' || substr(md5('3:key:' || client || ':' || n), 1, 12) AS BIGINT) % 50 AS k FROM w)
+SELECT * FROM p UNION ALL SELECT CAST(client AS INTEGER), CAST(n AS INTEGER), CASE WHEN rd THEN 'get' ELSE 'put' END, 'key' || lpad(CAST(k AS VARCHAR), 8, '0'), CASE WHEN NOT rd THEN repeat('v', 100) END FROM r"""
+)
+def bench_load(spark, d):
+    return measure.load(spark, 8, 200, 50, 0.9, 100, 3)
+
+
 # Streaming
 
 
 @query(f"WITH {LATE}, {ACC} {DEDUP}")
 def stream_dedup(spark, d):
     """The reordered log as files of a stream; the same result as in one batch."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomlog-stream-")
-    base = f"{root.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).head()[0]}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     log = kv_log_reordered(spark, d).select("shard", "client_id", "idx", "seq", "op", "key", "val")
     edges = log.agg(F.expr("percentile_approx(idx, 0.5)")).head()[0]
     schema = log.schema
-    # two files in the order of the log; names and times order the stream's files
+    # two halves in the order of the log, each in a micro-batch of its own
     for k, part in enumerate((log.where(F.col("idx") <= (edges or 0)), log.where(F.col("idx") > (edges or 0)))):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in/part={k}")
-        state_stream.run_available(spark, f"{base}/in/part=*", schema, f"{base}/out", f"{base}/checkpoint")
+        part.write.mode("append").parquet(f"{base}/in/part={k}")
+        state_stream.run_available(spark, f"{base}/in/part=*", schema, f"{base}/out", f"{base}/checkpoint", files=1 << 20)
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("shard").agg(F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.count(F.when(~F.col("accepted"), 1)).alias("duplicates"))

@@ -14,6 +14,10 @@ from loomlog.streaming import state_stream
 from .conftest import SF
 
 
+#: Queries whose tables at the tests' size are too small for a row.
+SPARSE = {"log_compact"}
+
+
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
         if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
@@ -39,7 +43,7 @@ def test_query(spark, duck, name):
     got = QUERIES[name](spark, str(SF)).toPandas()
     if name in ORACLES:
         want = duck.execute(ORACLES[name]).df()
-        assert sorted(got) == sorted(want) and rows(got) == rows(want)
+        assert (len(want) or name in SPARSE) and sorted(got) == sorted(want) and rows(got) == rows(want)
     else:
         assert len(got)
 
