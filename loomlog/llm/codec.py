@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 
-LANES, STEPS = 2048, 256
+LANES, STEPS = 4096, 256
 BLOCK = LANES * STEPS
 MAGIC = b"LMC2"
 HEADER = struct.Struct("<4sIIIII")

@@ -144,25 +144,27 @@ def _pieces(vocabulary: str, capacity: int):
     def make():
         from pyspark import TaskContext
 
-        part, ranks, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), END.to_bytes(4, "little")
+        part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            docs, rows = [], []
-            for i, ids in enumerate(encoder(vocabulary).encode(*column_bytes(batch["text"]))):
-                ids += end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                start = 0
-                for piece, stop in enumerate(range(first, n + 1, capacity)):
-                    length = stop - start
-                    docs.append(i)
-                    rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * stop]), ranks[length]))
-                    ranks[length] += 1
-                    start = stop
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            ids = batch["doc_id"].take(pa.array(docs, pa.int64()))
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(np.full(len(docs), part, np.int32))], ["doc_id", "piece", "start", "length", "ids_crc32", "local", "part"])
+            ids, at = encoder(vocabulary).encode(*column_bytes(batch["text"]), END)
+            size = np.diff(at)
+            pieces = -(-size // capacity)
+            doc = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = (size - 1) % capacity + 1
+            stop = first[doc] + piece * capacity
+            start = np.where(piece > 0, stop - capacity, 0)
+            length, raw = stop - start, memoryview(ids.astype("<u4").view(np.uint8))
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((at[doc] + start).tolist(), (at[doc] + stop).tolist(), strict=True)]
+            # ranks among pieces of a length: those of earlier batches, then those before it here
+            order = np.argsort(length, kind="stable")
+            counts = np.bincount(length, minlength=capacity + 1)
+            local = np.empty(len(length), np.int64)
+            local[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+            local += ranks[length]
+            ranks[:] += counts
+            return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(local), pa.array(np.full(len(doc), part, np.int32))], ["doc_id", "piece", "start", "length", "ids_crc32", "local", "part"])
 
         return run
 

@@ -34,7 +34,6 @@ def _coded(vocabulary: str, size: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        end = END.to_bytes(4, "little")
         held, waiting, block, row, starts, at = [], 0, 0, 0, [], 0
 
         def rows(kind, n, **cols):
@@ -44,10 +43,10 @@ def _coded(vocabulary: str, size: int):
 
         def flush(last: bool) -> pa.RecordBatch | None:
             nonlocal held, waiting, block, starts
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             cut = len(ids) if last else len(ids) // codec.BLOCK * codec.BLOCK
             coded = codec.encode(ids[:cut], size)
-            held, waiting = [ids[cut:].tobytes()], len(ids) - cut
+            held, waiting = [ids[cut:].copy()], len(ids) - cut
             if not coded:
                 return None
             begin = (block + np.arange(len(coded))) * codec.BLOCK
@@ -61,15 +60,12 @@ def _coded(vocabulary: str, size: int):
 
         for batch in batches:
             for piece in sliced(batch):
-                ids = [x + end for x in encoder(vocabulary).encode(*column_bytes(piece["text"]))]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                yield rows("doc", len(ids), row=pa.array(np.arange(row, row + len(ids), dtype=np.int64)), doc_id=piece["doc_id"].cast(pa.int64()), n_tokens=pa.array(n))
-                for k, x in enumerate(n.tolist()):
-                    starts.append((at, row + k))
-                    at += x
-                held += ids
-                row += len(ids)
-                waiting += int(n.sum())
+                ids, begin = encoder(vocabulary).encode(*column_bytes(piece["text"]), END)
+                docs = piece.num_rows
+                yield rows("doc", docs, row=pa.array(np.arange(row, row + docs, dtype=np.int64)), doc_id=piece["doc_id"].cast(pa.int64()), n_tokens=pa.array(np.diff(begin)))
+                starts += zip((at + begin[:-1]).tolist(), range(row, row + docs))
+                held.append(ids)
+                row, at, waiting = row + docs, at + len(ids), waiting + len(ids)
                 if waiting >= codec.BLOCK and (out := flush(False)) is not None:
                     yield out
         if waiting and (out := flush(True)) is not None:
