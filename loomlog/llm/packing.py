@@ -1,10 +1,13 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
-A configuration is a multiset of piece lengths that fits a sequence. Multiplicative weights price the lengths: in each
-round the best configuration at the present prices (a knapsack, by dynamic programming over the capacity) is
-added, and the prices of the lengths that it serves fall. The rounds' mean is a fractional solution, restricted to demand and
-rounded down; what it leaves open is packed by best fit, longest first. All of this works on the histogram,
-which has at most `capacity` entries whatever the data. Pieces then find their place by their rank among pieces of their length.
+A configuration is a multiset of piece lengths that fits a sequence. The program asks for amounts of configurations that cover each
+length's demand. Multiplicative weights solve it: lengths have prices; in each round a knapsack by dynamic programming over the
+capacity gives, for each length, the best configuration with it; those of lengths that lag behind their demand are added, and
+prices of lengths fall where the rounds so far gave too much of them. The rounds' mean is the fractional solution. It is rounded along
+the order of its configurations, so that each comes as often as its amount says on the whole, for a share of it (SHARES); the
+program is solved again for what is left, and the rest goes by best fit: the longest piece left, with the pieces that fill its sequence
+best. The share that needs the fewest sequences counts. All of this works on the histogram, which has at most `capacity` entries whatever
+the data, and is the same at every size. Pieces then find their place by their rank among pieces of their length.
 """
 
 from __future__ import annotations
@@ -23,33 +26,85 @@ from loomlog.llm.textbytes import column_bytes
 from loomlog.llm.tokens import VOCABULARY, encoder
 
 CAPACITY, END = 1024, 2
-ROUNDS, STEP = 600, 0.25
+#: Rounds of the weights, the power by which prices follow what was served, solutions of the program, and shares of them that are taken.
+ROUNDS, STEP, SOLUTIONS = 100, 0.1, 2
+SHARES = (0.9, 1.0, 0.8, 0.7, 0.5, 0.3, 0.1)
 
 
-def knapsack(prices: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts by length of a best configuration; prices and limits by length (index 0 unused), with counts no higher than the limits.
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each filled capacity up to `capacity` a last piece of a best filling (0: one token stays free) and the tokens that the filling uses.
 
-    Unbounded dynamic programming over the filled capacity; counts above a limit are cut, which keeps a
-    configuration valid.
+    prices by length, 0 for lengths that don't exist; pieces may repeat.
     """
-    lengths = np.flatnonzero(limit > 0)
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    # best[capacity - c] is the value of capacity c, so that the values of c - 1, c - 2, .. lie in order
+    best, choice, used = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    value = np.empty(capacity)
     for c in range(1, capacity + 1):
-        fit = lengths[: np.searchsorted(lengths, c, "right")]
-        best[c], choice[c] = best[c - 1], 0
-        if len(fit):
-            v = best[c - fit] + prices[fit]
-            k = int(v.argmax())
-            if v[k] > best[c - 1] + 1e-12:
-                best[c], choice[c] = v[k], fit[k]
-    counts, c = np.zeros(capacity + 1, np.int64), capacity
+        v = np.add(best[capacity - c + 1 :], prices[1 : c + 1], out=value[:c])
+        k, before = int(v.argmax()), best[capacity - c + 1]
+        if prices[k + 1] > 0 and v[k] > before + 1e-12:
+            best[capacity - c], choice[c], used[c] = v[k], k + 1, used[c - k - 1] + k + 1
+        else:
+            best[capacity - c], used[c] = before, used[c - 1]
+    return choice, used
+
+
+def filling(choice: np.ndarray, c: int) -> dict[int, int]:
+    """Counts by length of the best filling of capacity c."""
+    counts: dict[int, int] = {}
     while c > 0:
-        if choice[c]:
-            counts[choice[c]] += 1
-            c -= choice[c]
+        if x := int(choice[c]):
+            counts[x] = counts.get(x, 0) + 1
+            c -= x
         else:
             c -= 1
-    return np.minimum(counts, limit)
+    return counts
+
+
+def fractional(demand: np.ndarray, capacity: int) -> list[tuple[int, float, dict[int, int]]]:
+    """(tokens left free, amount, counts by length) of the configurations of a fractional solution of the program; tight ones and long pieces first."""
+    lengths = np.flatnonzero(demand)
+    want, size = demand.astype(float), np.arange(capacity + 1) / capacity
+    sequences = float((want * size).sum())
+    served = np.zeros(capacity + 1)
+    found: dict[tuple, list] = {}
+    for r in range(1, ROUNDS + 1):
+        price = np.zeros(capacity + 1)
+        price[lengths] = size[lengths] * (r * want[lengths] / (served[lengths] + want[lengths])) ** STEP
+        choice, used = knapsack(price, capacity)
+        # lengths that lag lead this round's configurations, in all as many as the demand's tokens need
+        lag = np.maximum(r * want[lengths] - served[lengths], 0.0)
+        lead = lag / lag.sum() * sequences
+        for x, amount in zip(lengths.tolist(), lead.tolist(), strict=True):
+            if amount <= 0:
+                continue
+            counts = filling(choice, capacity - x)
+            counts[x] = counts.get(x, 0) + 1
+            for y, n in counts.items():
+                served[y] += n * amount
+            entry = found.setdefault(tuple(sorted(counts.items(), reverse=True)), [capacity - x - int(used[capacity - x]), 0.0, counts])
+            entry[1] += amount / ROUNDS
+    return [tuple(e) for _, e in sorted(found.items(), key=lambda e: (e[1][0], [(-x, n) for x, n in e[0]]))]
+
+
+def fullest(demand: np.ndarray, capacity: int) -> dict[int, int]:
+    """The longest piece of the demand with those pieces of it that fill its sequence best, longer ones first."""
+    lengths = np.flatnonzero(demand)[::-1].tolist()
+    counts, room = {lengths[0]: 1}, capacity - lengths[0]
+    items, reach = [], [1]
+    mask = (2 << room) - 1
+    for x in lengths:
+        for _ in range(min(int(demand[x]) - counts.get(x, 0), room // x)):
+            items.append(x)
+            reach.append((reach[-1] | reach[-1] << x) & mask)
+        if reach[-1] >> room & 1:
+            break
+    c = reach[-1].bit_length() - 1
+    for x, before in zip(reversed(items), reversed(reach[:-1]), strict=True):
+        if not before >> c & 1:
+            counts[x] = counts.get(x, 0) + 1
+            c -= x
+    return counts
 
 
 @dataclass(frozen=True)
@@ -63,78 +118,58 @@ class Plan:
     sequences: int
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """histogram[l] pieces of length l, for l up to capacity."""
-    demand = histogram.astype(np.int64).copy()
-    runs: list[tuple[np.ndarray, int]] = []
+def rounded(demand: np.ndarray, first: list, share: float, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(counts by length, times) that serve all of the demand, from a share of the solution `first` and of those of what it leaves."""
+    demand, runs = demand.copy(), []
 
-    def take(counts: np.ndarray, times: int) -> None:
+    def take(counts: dict[int, int], times: int) -> None:
+        times = min(times, *(int(demand[x]) // n for x, n in counts.items()))
         if times > 0:
-            demand[:] -= counts * times
+            for x, n in counts.items():
+                demand[x] -= n * times
             runs.append((counts, times))
 
-    full = np.zeros(capacity + 1, np.int64)
-    full[capacity] = 1
-    take(full, int(demand[capacity]))
-    if demand.sum() > capacity:  # fewer pieces are left to best fit alone
-        prices = np.where(demand > 0, np.arange(capacity + 1) / capacity, 0.0)
-        served = np.zeros(capacity + 1)
-        found: dict[bytes, list] = {}
-        for _ in range(ROUNDS):
-            counts = knapsack(prices, demand, capacity)
-            used = counts > 0
-            # as many times as the scarcest of its lengths allows, spread over the rounds
-            times = float((demand[used] / counts[used]).min()) / 8
-            entry = found.setdefault(counts.tobytes(), [counts, 0.0])
-            entry[1] += times
-            served += counts * times
-            prices = np.where(demand > 0, np.arange(capacity + 1) / capacity * np.exp(-STEP * 8 * served / np.maximum(demand, 1)), 0.0)
-            prices = np.maximum(prices / max(prices.max(), 1e-300), 1e-12) * (demand > 0)
-        waste = lambda c: capacity - int((c * np.arange(capacity + 1)).sum())
-        for counts, times in sorted(found.values(), key=lambda e: (waste(e[0]), e[0].tobytes())):
-            room = int((demand[counts > 0] // counts[counts > 0]).min())
-            take(counts, min(room, int(times)))
-        # full sequences that the prices of the rest still allow
-        while demand.sum() > capacity // 4:
-            weight = np.arange(capacity + 1, dtype=float)
-            counts = knapsack(np.where(demand > 0, weight + weight**2 / capacity**2, 0), demand, capacity)
-            used = counts > 0
-            if waste(counts) > 0:
-                break
-            take(counts, max(1, int((demand[used] // counts[used]).min())))
-    # best fit for the rest, longest first: bins by their free room, as runs of equal bins
-    free: dict[int, list[list]] = {}
-    for length in range(capacity, 0, -1):
-        left = int(demand[length])
-        while left:
-            room = min((r for r, x in free.items() if r >= length and x), default=None)
-            if room is None:
-                each = capacity // length
-                counts = np.zeros(capacity + 1, np.int64)
-                # new bins take one piece each; later rounds of best fit fill them
-                counts[length] = each if left >= each else left
-                times = max(left // each, 1) if left >= each else 1
-                entry = [counts, times]
-                left -= int(counts[length]) * times
-            else:
-                entry = free[room].pop()
-                each = min(room // length, left)
-                times = min(entry[1], max(left // each, 1))
-                if times < entry[1]:
-                    free[room].append([entry[0].copy(), entry[1] - times])
-                entry = [entry[0].copy(), times]
-                entry[0][length] += each
-                left -= each * times
-            free.setdefault(capacity - int((entry[0] * np.arange(capacity + 1)).sum()), []).append(entry)
-    runs += [(c, t) for x in free.values() for c, t in x]
+    for k in range(SOLUTIONS):
+        if not demand.any():
+            break
+        due = taken = 0
+        for waste, amount, counts in first if not k else fractional(demand, capacity):
+            if waste > 0:
+                break  # best fit does as well
+            due += amount * share
+            if due - taken >= 1:
+                take(counts, int(due) - taken)
+                taken = int(due)
+    while demand.any():
+        counts = fullest(demand, capacity)
+        take(counts, min(int(demand[x]) // n for x, n in counts.items()))
+    return runs
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """histogram[l] pieces of length l, for l up to capacity."""
+    demand = histogram.astype(np.int64).copy()
+    demand[0] = 0
+    whole = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
+    demand[capacity] = 0
+    least = max(-(-int((demand * np.arange(capacity + 1)).sum()) // capacity), int(demand[capacity // 2 + 1 :].sum()))
+    first = fractional(demand, capacity) if demand.any() else []
+    best, fewest = [], None
+    for share in SHARES:
+        runs = rounded(demand, first, share, capacity)
+        if fewest is None or sum(t for _, t in runs) < fewest:
+            best, fewest = runs, sum(t for _, t in runs)
+        if fewest <= least:
+            break
+    runs = whole + best
     spans: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]
     done, sequence = np.zeros(capacity + 1, np.int64), 0
     for counts, times in runs:
         offset = 0
-        for length in np.flatnonzero(counts)[::-1]:
-            spans[length].append((int(done[length]), int(counts[length]), offset, sequence))
+        for length in sorted(counts, reverse=True):
+            spans[length].append((int(done[length]), counts[length], offset, sequence))
             done[length] += counts[length] * times
-            offset += int(length * counts[length])
+            offset += length * counts[length]
         sequence += times
     column = lambda k: tuple(np.array([s[k] for s in x], np.int64) for x in spans)
     return Plan(column(0), column(1), column(2), column(3), sequence)
