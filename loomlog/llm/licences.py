@@ -1,9 +1,12 @@
 """Licences of files: by their own text, else by the nearest directory above that has a licence file.
 
-Each line of a text is held against templates as TF-IDF vectors; the inverse frequencies of the templates' words count all
-lines of all texts, other words weigh as if no other line had them. Only lines that share a word with a template have a
-cosine over 0, so the products are sparse. A file whose best cosine reaches THRESHOLD has that licence. It is a licence
-file if licence lines make up half of its words; then its directory passes the licence on to files below
+Passages of a text are held against templates as TF-IDF vectors: each line, the whole text, and runs of as many words as a template has,
+laid so that one of the template's weightiest words falls on its place in it; so a header counts wherever its lines break, and a
+licence file by its whole text or by how it begins. The inverse frequencies of the templates' words count all lines of all
+texts; other words weigh as if no other line had them. A passage without any of a template's weightiest words can't reach THRESHOLD, so only
+passages with one are looked at, and the products are sparse. The best cosine of at least THRESHOLD names a file's licence; a notice also needs
+those words of its licence's name that it holds. It is a licence file if a text of a licence file is found in it, if matching
+passages make up half of its words, or if it is called LICENSE, COPYING or the like; then its directory passes the licence on to files below
 that have none, the nearest directory first, by joins on paths.
 """
 
@@ -17,52 +20,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import Scratch, arrow_map, sliced
+from loomlog.llm.licence_templates import NOTICES, TEXTS
 from loomlog.llm.textbytes import ALNUM, column_bytes, runs, words
 
 THRESHOLD = 0.7
-#: Short notices and headers of common licences, as their owners ask for them.
-TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-}
+#: Names of licence files, in capitals and without what follows a point or a hyphen.
+NAMED = ("LICENSE", "LICENCE", "LICENSES", "COPYING", "COPYRIGHT", "UNLICENSE")
+#: Passages that are compared at once.
+PASSAGES = 512
+#: White space and line feeds end lines for the frequencies and for passages alike.
+_inside = np.ones(256, bool)
+_inside[10] = False
+
+
+def _hashes(texts: list[str]) -> list[np.ndarray]:
+    hashes, _, _, at = words(*column_bytes(pa.array(texts, pa.string())), ALNUM)
+    return [hashes[at[k] : at[k + 1]] for k in range(len(texts))]
 
 
 class _Matcher:
     """Templates as sparse vectors over the hashes of their words."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]]):
-        rows = [(name, text) for name in sorted(templates) for text in templates[name]]
-        hashes, _, _, at = words(*column_bytes(pa.array([t for _, t in rows], pa.string())), ALNUM)
-        self.names = [n for n, _ in rows]
-        self.words = np.unique(hashes)
+    def __init__(self, notices: Mapping[str, tuple[str, ...]], texts: Mapping[str, tuple[str, ...]]):
+        rows = [(name, text, given is texts) for given in (notices, texts) for name in sorted(given) for text in given[name]]
+        rows = sorted(rows, key=lambda r: r[0])
+        own = _hashes([t for _, t, _ in rows])
+        self.names, self.whole = [n for n, _, _ in rows], np.array([w for _, _, w in rows], bool)
+        self.words = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
+        self.of = [np.searchsorted(self.words, h) for h in own]
         self.counts = np.zeros((len(rows), len(self.words)))
-        for k in range(len(rows)):
-            np.add.at(self.counts[k], np.searchsorted(self.words, hashes[at[k] : at[k + 1]]), 1)
-
-    def lines(self, batch: pa.RecordBatch):
-        """For each line with a template's word: its document, its number of words, and its counts of the templates' words."""
+        for k, at in enumerate(self.of):
+            np.add.at(self.counts[k], at, 1)
+        # words of a notice's name that it holds itself
+        needed = [np.zeros(0, np.uint64) if w else np.intersect1d(h, t) for (_, _, w), h, t in zip(rows, _hashes([n for n, _, _ in rows]), own, strict=True)]
+        self.needed = [np.searchsorted(self.words, n) for n in needed]
+
+    def weigh(self, df: np.ndarray, lines: float, threshold: float) -> None:
+        self.idf, self.rest, self.threshold = np.log((1 + lines) / (1 + df)) + 1, float(np.log(1 + lines) + 1), threshold
+        self.vectors = self.counts * self.idf
+        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+        # the heaviest words of each template, until the others' share can't reach the threshold
+        self.anchors: dict[int, list[tuple[int, int]]] = {}
+        for t, v in enumerate(self.vectors):
+            order = np.argsort(-v, kind="stable")
+            share = np.cumsum(v[order] ** 2)
+            kept = set(order[: int(np.searchsorted(share, 1 - threshold**2, "right")) + 1].tolist())
+            for q, w in enumerate(self.of[t].tolist()):
+                if w in kept:
+                    self.anchors.setdefault(w, []).append((q, len(self.of[t])))
+        self.anchor = np.zeros(len(self.words) + 1, bool)
+        self.anchor[list(self.anchors)] = True
+
+    def hits(self, batch: pa.RecordBatch):
+        """Word offsets of documents, of lines, the places of templates' words, and which of them each is."""
         data, off = column_bytes(batch["text"])
         hashes, starts, _, at = words(data, off, ALNUM)
-        kept = np.ones(256, bool)
-        kept[10] = False
-        ls, _ = runs(kept[data], off)
-        line = np.searchsorted(ls, starts, "right") - 1
-        k = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        hit = self.words[k] == hashes if len(hashes) and len(self.words) else np.zeros(len(hashes), bool)
-        where = np.unique(line[hit])
-        counts = np.zeros((len(where), len(self.words)))
-        np.add.at(counts, (np.searchsorted(where, line[hit]), k[hit]), 1)
-        size = np.bincount(line, minlength=len(ls)) if len(line) else np.zeros(len(ls), np.int64)
-        doc = np.searchsorted(off, ls[where], "right") - 1 if len(where) else where
-        return doc, size[where], counts, np.diff(at), len(ls)
-
-
-def detect(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, path, own_licence, score, licence_file) for each row of docs (doc_id, text, path)."""
-    matcher = _Matcher(templates)
+        line_starts, _ = runs(_inside[data], off)
+        lines = np.searchsorted(starts, line_starts)
+        if not len(hashes) or not len(self.words):
+            return at, lines, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        place = np.flatnonzero(self.words[k] == hashes)
+        return at, lines, place, k[place]
+
+    def frequencies(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Lines with each word, and all lines."""
+        _, lines, place, word = self.hits(batch)
+        seen = np.unique((np.searchsorted(lines, place, "right") - 1) * (len(self.words) + 1) + word)
+        return np.append(np.bincount(seen % (len(self.words) + 1), minlength=len(self.words)), len(lines))
+
+    def passages(self, at: np.ndarray, lines: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """(document, first word, end) of all passages with an anchor, in order and each once."""
+        anchored = self.anchor[word]
+        place, word = place[anchored], word[anchored]
+        doc = np.searchsorted(at, place, "right") - 1
+        ends = np.append(lines, at[-1])
+        line = np.searchsorted(lines, place, "right") - 1
+        found = [np.stack([doc, at[doc], at[doc + 1]], axis=1), np.stack([doc, lines[line], ends[line + 1]], axis=1)]
+        for w in np.unique(word).tolist():
+            own = np.flatnonzero(word == w)
+            for q, n in self.anchors[w]:
+                lo, hi = at[doc[own]], at[doc[own] + 1]
+                start = np.clip(place[own] - q, lo, hi)
+                found.append(np.stack([doc[own], start, np.minimum(place[own] - q + n, hi)], axis=1))
+        found = np.unique(np.concatenate(found), axis=0)
+        return found[found[:, 2] > found[:, 1]]
+
+    def cosines(self, spans: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of passages with templates, 0 where a notice lacks words of its name."""
+        a, b = np.searchsorted(place, spans[:, 1]), np.searchsorted(place, spans[:, 2])
+        n = b - a
+        x = np.zeros((len(spans), len(self.words)))
+        np.add.at(x, (np.repeat(np.arange(len(spans)), n), word[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]), 1)
+        other = spans[:, 2] - spans[:, 1] - n
+        y = x * self.idf
+        # words that no template has count as different ones
+        out = y @ self.vectors.T / np.maximum(np.sqrt((y * y).sum(axis=1) + other * self.rest**2), 1e-12)[:, None]
+        for t, needed in enumerate(self.needed):
+            if len(needed):
+                out[:, t] *= (x[:, needed] > 0).all(axis=1)
+        return np.minimum(out, 1.0)
+
+
+def detect(docs: DataFrame, notices: Mapping[str, tuple[str, ...]] = NOTICES, texts: Mapping[str, tuple[str, ...]] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, path, own_licence, score, licence_file) for each row of docs (doc_id, text, path); score is the best cosine of a passage with an anchor, else 0."""
+    matcher = _Matcher(notices, texts)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("path").cast("string").alias("path"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string"
 
@@ -70,47 +132,53 @@ def detect(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES
         total = np.zeros(len(matcher.words) + 1)
         for batch in batches:
             for part in sliced(batch):
-                _, _, counts, _, lines = matcher.lines(part)
-                total[:-1] += (counts > 0).sum(axis=0)
-                total[-1] += lines
+                total += matcher.frequencies(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], ["word", "n"])
 
     df = np.zeros(len(matcher.words) + 1)
     for r in docs.select("text").mapInArrow(frequencies, "word long, n double").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row for each word of the templates
         df[r["word"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    rest = float(np.log(1 + df[-1]) + 1)
-    vectors = matcher.counts * idf
-    norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+    matcher.weigh(df[:-1], df[-1], threshold)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, size, counts, total, _ = matcher.lines(batch)
-        x = counts * idf
-        other = size - counts.sum(axis=1)
-        # words that no template has count as different ones
-        cos = x @ vectors.T / norms / np.maximum(np.sqrt((x * x).sum(axis=1) + other * rest**2), 1e-12)[:, None] if len(vectors) else np.zeros((len(x), 1))
-        best, which = cos.max(axis=1, initial=0), cos.argmax(axis=1) if len(x) else np.zeros(0, np.int64)
-        own: list[str | None] = [None] * batch.num_rows
-        score, covered = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-        for k in np.lexsort((which, -best)):
-            d = doc[k]
-            if best[k] > score[d]:
-                score[d] = best[k]
-            if best[k] >= threshold:
-                own[d] = own[d] or matcher.names[which[k]]
-                covered[d] += size[k]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["path"], pa.array(own, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array((covered > 0) & (2 * covered >= total))], ["doc_id", "path", "own_licence", "score", "licence_file"])
-
-    return arrow_map(docs, run, f"{kinds}, own_licence string, score double, licence_file boolean")
-
-
-def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+        at, lines, place, word = matcher.hits(batch)
+        spans = matcher.passages(at, lines, place, word)
+        n = batch.num_rows
+        score, own, whole = np.zeros(n), np.full(n, -1), np.zeros(n, bool)
+        matched = [np.zeros((0, 3), np.int64)]
+        for lo in range(0, len(spans), PASSAGES):
+            some = spans[lo : lo + PASSAGES]
+            cos = matcher.cosines(some, place, word)
+            best, which = cos.max(axis=1), cos.argmax(axis=1)
+            for d, c, t in zip(some[:, 0].tolist(), best.tolist(), which.tolist(), strict=True):
+                if c > score[d] or c == score[d] and c >= threshold and t < own[d]:
+                    score[d] = c
+                    own[d] = t if c >= threshold else -1
+            far = best >= threshold
+            matched.append(some[far])
+            whole[some[far, 0]] |= ((cos[far] >= threshold) & matcher.whole).any(axis=1)
+        # words in matching passages, each once
+        matched = np.concatenate(matched)
+        depth = np.zeros(int(at[-1]) + 1, np.int64)
+        np.add.at(depth, matched[:, 1], 1)
+        np.add.at(depth, matched[:, 2], -1)
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(depth)[:-1] > 0)])
+        covered = inside[at[1:]] - inside[at[:-1]]
+        name = pa.array([None if t < 0 else matcher.names[t] for t in own.tolist()], pa.string())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["path"], name, pa.array(score), pa.array(whole | (covered > 0) & (2 * covered >= np.diff(at)))], ["doc_id", "path", "own_licence", "score", "licence_file"])
+
+    found = arrow_map(docs, run, f"{kinds}, own_licence string, score double, licence_file boolean")
+    called = F.regexp_extract(F.upper(F.element_at(F.split("path", "/"), -1)), r"^([A-Z]+)(?:[.\-].*)?$", 1).isin(*NAMED)
+    return found.withColumn("licence_file", F.col("licence_file") | F.coalesce(called & F.col("own_licence").isNotNull(), F.lit(False)))
+
+
+def scan(docs: DataFrame, notices: Mapping[str, tuple[str, ...]] = NOTICES, texts: Mapping[str, tuple[str, ...]] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """detect() with licence (the own one, else the inherited one) and inherited_from (the directory it comes from).
 
     Null and empty texts have no own licence; a null path inherits nothing and passes nothing on. Of several licence files
-    in a directory the best score decides, then the first name in alphabetical order. Rows that repeat stay.
+    in a directory the best score decides, then the first name in alphabetical order. Rows that repeat stay. Other columns are ignored.
     """
-    found = Scratch(docs.sparkSession).write(detect(docs, templates, threshold).withColumn("dir", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)), "found")
+    found = Scratch(docs.sparkSession).write(detect(docs, notices, texts, threshold).withColumn("dir", F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)), "found")
     given = found.where("licence_file and path is not null").groupBy("dir", "own_licence").agg(F.max("score").alias("score"))
     given = given.groupBy("dir").agg(F.min_by("own_licence", F.struct(-F.col("score"), "own_licence")).alias("licence"))
     # each directory once, with all that are above it

@@ -296,8 +296,19 @@ def ids_of(text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab Z09,.!?'\"*\n\t_é×ß\u00a0日\x00|&")) | st.characters(exclude_categories=["Cs"]), max_size=30), max_size=4))
 def test_cut_texts_give_the_library_ids(texts):
-    got = tokens.encoder().encode(*column_bytes(pa.array(texts, pa.string())))
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t) for t in texts]
+    ids, at = tokens.encoder().encode(*column_bytes(pa.array(texts, pa.string())), 9)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [[*ids_of(t), 9] for t in texts]
+
+
+def test_long_texts_are_cut_into_parts_and_the_cache_is_bounded(monkeypatch):
+    r = random.Random(5)
+    words_ = [" the", " of", "  two", "\n", " don't", " Über", " 日本", "\u00a0x", " a1b2", "...", " abcdefghijklmnopqrstuvwxyz", "\x00"] + [f" {chr(97 + a)}{chr(97 + b)}x" for a in range(26) for b in range(26)]
+    texts = ["".join(r.choice(words_) for _ in range(n)) for n in (3000, 0, 1, 2000, 5)]
+    for part, pieces in ((1000, 1 << 20), (5, 50), (1 << 20, 100)):
+        monkeypatch.setattr(tokens, "PART", part)
+        monkeypatch.setattr(tokens, "PIECES", pieces)
+        ids, at = tokens.encoder().encode(*column_bytes(pa.array(texts, pa.string())))
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [ids_of(t) for t in texts]
 
 
 @settings(max_examples=20, deadline=None)
@@ -427,20 +438,91 @@ def test_repeated_vectors_of_an_id_share_its_component(spark):
 
 
 def test_licences(spark, docs, empty):
-    mit, apache, gpl = (licences.TEMPLATES[k][0] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
+    mit, apache, gpl = (licences.NOTICES[k][0] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
     given = [
         (0, mit, "a/LICENSE"), (1, prose(30, 1), "a/x.py"), (2, prose(30, 2), "a/b/c/y.py"), (3, apache, "a/b/LICENSE"), (4, prose(50, 3) + "\n" + gpl + "\n" + prose(50, 4), "a/b/z.py"),
         (5, prose(9, 5), "q/r.py"), (6, None, "a/b/n.py"), (7, "", None), (8, mit, None), (9, prose(20, 6), "top.py"), (10, "LICENSED UNDER CC by-nc 4.0", "a/d/u.py"), (11, "licensed to nobody at all for this or that thing", "q/s.py"),
+        (12, "// SPDX-License-Identifier: ISC", "y/i.c"), (13, "// SPDX-License-Identifier: Sleepycat", "q/sp.c"),
     ]
     got = {r["doc_id"]: (r["own_licence"], r["licence"], r["inherited_from"]) for r in licences.scan(spark.createDataFrame(given, "doc_id long, text string, path string")).collect()}
     assert got == {
         0: ("MIT", "MIT", None), 1: (None, "MIT", "a"), 2: (None, "Apache-2.0", "a/b"), 3: ("Apache-2.0", "Apache-2.0", None), 4: ("GPL-3.0", "GPL-3.0", None), 5: (None, None, None),
         6: (None, "Apache-2.0", "a/b"), 7: (None, None, None), 8: ("MIT", "MIT", None), 9: (None, None, None), 10: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 11: (None, None, None),
+        12: ("ISC", "ISC", None), 13: (None, None, None),
     }
     assert licences.scan(docs.withColumn("path", F.lit("x/y"))).count() == len(TEXTS) + 2
     assert licences.scan(empty.withColumn("path", F.lit("x"))).count() == 0
 
 
+def wrapped(text, width, sign=""):
+    import textwrap
+
+    return "\n".join(sign + line for line in textwrap.wrap(text, width))
+
+
+def test_licence_files_and_headers_of_real_projects(spark):
+    """Whole licence texts with a title and a holder, headers wrapped as comments, and one inside a long line."""
+    head = lambda name: f"{name}\n\nCopyright (c) 2019 Some Body and others\n\n"
+    texts = {k: v[0] for k, v in licences.TEXTS.items()}
+    rest = {"GPL-3.0": 5000, "GPL-2.0": 2500, "LGPL-2.1": 4000, "LGPL-3.0": 900, "AGPL-3.0": 5000, "Apache-2.0": 1500, "MPL-2.0": 2200, "CC0-1.0": 900, "CC-BY-4.0": 2000, "CC-BY-SA-4.0": 2000, "CC-BY-NC-4.0": 2000}
+    given, want = [], {}
+    for k, (name, text) in enumerate(sorted(texts.items())):
+        given += [(2 * k, head(name) + wrapped(text, 70) + "\n" + prose(rest.get(name, 0), k), f"p{k}/LICENSE"), (2 * k + 1, prose(40, 50 + k), f"p{k}/src/a.py")]
+        want |= {2 * k: (name, True, name), 2 * k + 1: (None, False, name)}
+    at = 2 * len(texts)
+    for name, notices in sorted(licences.NOTICES.items()):
+        for notice in notices[:2]:
+            given += [(at, wrapped(notice, 38, "# ") + "\n\n" + prose(90, at), f"q/{at}.py"), (at + 1, f"{prose(70, at + 1)} {notice} {prose(70, at + 2)}", f"q/{at}b.py")]
+            want |= {at: (name, False, name), at + 1: (name, False, name)}
+            at += 2
+    given.append((at, f"{licences.NOTICES['MIT'][0]}\n{prose(30, 9)}", "z/COPYING.txt"))
+    want[at] = ("MIT", True, "MIT")
+    got = {r["doc_id"]: (r["own_licence"], r["licence_file"], r["licence"]) for r in licences.scan(spark.createDataFrame(given, "doc_id long, text string, path string")).collect()}
+    assert got == want
+
+
+def test_licence_scores_are_those_of_dense_vectors(spark):
+    """All passages of each text against all templates, with words as text and without anchors."""
+    import re
+    from math import log, sqrt
+
+    notices = {"A-1": ("licensed under the river licence 1", "see the stone file for terms"), "B": ("the night light licence b applies to all of this",)}
+    texts = {"A-1": ("river terms and conditions of the paper walk under glass seven times the green train",)}
+    rows_ = [(k, t) for given in (notices, texts) for k in sorted(given) for t in given[k]]
+    r = random.Random(4)
+    pieces = [t for _, t in rows_] + ["river", "the", "licence", "terms of the night", "zebra", "under the river licence"]
+    docs_ = ["\n".join(" ".join(r.choice(pieces) if r.random() < 0.4 else r.choice(VOCABULARY) for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(0, 5))) for _ in range(60)]
+    lower = lambda ws: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws]
+    split = lambda t: lower(re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t))
+    known = {w for _, t in rows_ for w in split(t)}
+    lines = [split(x) for d in docs_ for x in d.split("\n") if x]
+    idf = {w: log((1 + len(lines)) / (1 + sum(w in x for x in lines))) + 1 for w in known}
+    rest = log(1 + len(lines)) + 1
+
+    def cosine(passage, template):
+        x, v = ({w: ws.count(w) * idf[w] for w in set(ws) & known} for ws in (passage, template))
+        other = sum(w not in known for w in passage)
+        norm = sqrt(sum(c * c for c in x.values()) + other * rest**2) * sqrt(sum(c * c for c in v.values()))
+        return sum(x[w] * v.get(w, 0) for w in x) / max(norm, 1e-12)
+
+    best = []
+    for d in docs_:
+        ws, top = split(d), 0.0
+        for name, t in rows_:
+            own = split(t)
+            needed = set() if t in texts.get(name, ()) else set(split(name)) & set(own)
+            spans = [ws, *(split(x) for x in d.split("\n"))]
+            spans += [ws[max(p - q, 0) : max(p - q + len(own), 0)] for p, w in enumerate(ws) for q, o in enumerate(own) if o == w]
+            top = max([top, *(cosine(s, own) for s in spans if needed <= set(s))])
+        best.append(top)
+    got = {x["doc_id"]: (x["own_licence"], x["score"]) for x in licences.detect(spark.createDataFrame([(k, d, "p") for k, d in enumerate(docs_)], "doc_id long, text string, path string"), notices, texts).collect()}
+    assert sum(b >= licences.THRESHOLD for b in best) > 10
+    for k, b in enumerate(best):
+        assert (got[k][0] is not None) == (b >= licences.THRESHOLD)
+        if b >= licences.THRESHOLD:
+            assert abs(got[k][1] - b) < 1e-9
+
+
 # Pipeline
 
 
