@@ -399,39 +399,70 @@ def test_plans_are_whole_and_tight(seed):
 # Vectors
 
 
-def test_vectors(spark):
+def brute_links(rows_, cosine=0.98):
+    good = [k for k, (i, v, x) in enumerate(rows_) if i is not None and x is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    m = np.array([rows_[k][1] for k in good], float)
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    label, ids = np.array([rows_[k][2] for k in good]), np.array([rows_[k][0] for k in good])
+    near = (m @ m.T >= cosine) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    tied = near | (ids[:, None] == ids[None, :])
+    comp = ids.copy()
+    while (new := np.minimum(comp, np.where(tied, comp[None, :], 10**9).min(axis=1))).tolist() != comp.tolist():
+        comp = new
+    of = dict(zip(ids.tolist(), comp.tolist(), strict=True))
+    links = dict(zip(good, near.sum(axis=1).tolist(), strict=True))
+    return sorted((i, links.get(k, 0), of.get(i, i), of.get(i, i) == i) for k, (i, _, _) in enumerate(rows_) if i is not None)
+
+
+def found_links(df):
+    return sorted((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in df.collect() if x["vec_id"] is not None)
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, rep string, v string"
+
+
+def test_vectors(spark, monkeypatch):
     r = np.random.default_rng(3)
     c = r.normal(size=(30, 6))
     given = [(i, [float(x) for x in c[r.integers(30)] + 0.08 * r.normal(size=6)], int(i % 2)) for i in range(400)]
     given += [(400 + i, given[5][1], given[5][2]) for i in range(5)] + [(500, [2 * x for x in given[5][1]], given[5][2])]
-    odd = [(600, None, 1), (601, [], 1), (602, [0.0] * 6, 1), (603, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (604, [float("nan")] + [1.0] * 5, 1), (605, [float("inf")] + [1.0] * 5, 1), (606, given[5][1], None), (607, [1e200] * 6, 0), (608, [1e-200] * 6, 0)]
-    table = spark.createDataFrame([(*x, "x", "x") for x in given + odd], "vec_id long, embedding array<double>, label int, rep string, v string")
-    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in embed_dedup.near_vectors(table).collect()}
-    for start in (0, 1):  # cells of a handful as well
-        good = [x for x in given + odd[7:]]
-        m = np.array([x[1] for x in good])
-        m = m / np.abs(m).max(axis=1, keepdims=True)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        ids, label = np.array([x[0] for x in good]), np.array([x[2] for x in good])
-        near = (m @ m.T >= 0.98) & (label[:, None] == label[None, :])
-        np.fill_diagonal(near, False)
-        comp = ids.copy()
-        while (new := np.minimum(comp, np.where(near, comp[None, :], 10**9).min(axis=1))).tolist() != comp.tolist():
-            comp = new
-        want = {int(i): (int(n), int(k), bool(i == k)) for i, n, k in zip(ids, near.sum(axis=1), comp, strict=True)}
-        want |= {x[0]: (0, x[0], True) for x in odd[:7]}
-        assert got == want
-        if not start:
-            embed_dedup.CELL, was = 40, embed_dedup.CELL
-            got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in embed_dedup.near_vectors(table).collect()}
-            embed_dedup.CELL = was
+    given += [(7, given[20][1], given[20][2]), (7, given[31][1], given[31][2]), (7, given[20][1], given[20][2]), (None, given[5][1], 1)]
+    given += [(600, None, 1), (601, [], 1), (602, [0.0] * 6, 1), (603, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (604, [float("nan")] + [1.0] * 5, 1), (605, [float("inf")] + [1.0] * 5, 1), (606, given[5][1], None), (607, [1e200] * 6, 0), (608, [1e-200] * 6, 0), (7, None, 1)]
+    table = spark.createDataFrame([(*x, "x", "x") for x in given], VECTORS)
+    want = brute_links(given)
+    assert found_links(embed_dedup.near_vectors(table)) == want
+    for cell, salt in ((40, 100), (5, 1 << 18)):  # many cells
+        monkeypatch.setattr(embed_dedup, "CELL", cell)
+        monkeypatch.setattr(embed_dedup, "SALT", salt)
+        assert found_links(embed_dedup.near_vectors(table)) == want
     assert embed_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.002, 0.03, 0.2])
+def test_dense_groups_of_vectors(spark, monkeypatch, spread):
+    """All near each other, cells of which some are wholly near, and a mixture."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=8)
+    given = [(i, (base + spread * r.normal(size=8)).tolist(), 1) for i in range(1500)]
+    monkeypatch.setattr(embed_dedup, "CELL", 50)
+    table = spark.createDataFrame([(*x, "x", "x") for x in given], VECTORS)
+    assert found_links(embed_dedup.near_vectors(table)) == brute_links(given)
+
+
+def test_a_dense_group_of_twenty_thousand(spark):
+    r = np.random.default_rng(6)
+    base, n = r.normal(size=8), 20_000
+    given = [(i, (base + 0.001 * r.normal(size=8)).tolist(), 1) for i in range(n)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>, label int")).toPandas()
+    assert len(got) == n and set(got["n_links"]) == {n - 1} and set(got["component_id"]) == {0}
+
+
 def test_repeated_vectors_of_an_id_share_its_component(spark):
-    table = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
-    got = embed_dedup.near_vectors(table).collect()
-    assert sorted((r["vec_id"] or 0, r["component_id"]) for r in got if r["vec_id"]) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    given = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.02], 1), (None, [1.0, 0.0], 1)]
+    table = spark.createDataFrame(given, "vec_id long, embedding array<double>, label int")
+    assert found_links(embed_dedup.near_vectors(table)) == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
 
 
 # Licences
