@@ -111,8 +111,8 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, per_task: bool = False,
     return df.mapInArrow(over, schema)
 
 
-#: Partial sums that one task adds up.
-FAN_IN = 16
+#: Partial sums that one task adds up, and tasks of a first sum at most, which bounds what their rows hold in all.
+FAN_IN, TASKS = 16, 16_384
 
 
 def summed(df: DataFrame, part: Callable[[pa.RecordBatch, np.ndarray], None], size: int, kind: str = "<f8") -> np.ndarray | None:
@@ -147,10 +147,12 @@ def summed(df: DataFrame, part: Callable[[pa.RecordBatch, np.ndarray], None], si
         return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([total.astype(kind).tobytes()], pa.binary())], ["g", "v"])
 
     schema, left = "g long, v binary", df.rdd.getNumPartitions()
+    if left > TASKS:
+        df, left = df.coalesce(TASKS), TASKS
     rows = df.mapInArrow(first, schema)
     while left > 2:
         left = -(-left // FAN_IN)
-        rows = rows.repartition(left, F.floor(F.col("g") / FAN_IN)).mapInArrow(again, schema)
+        rows = rows.repartitionById(left, F.floor(F.col("g") / FAN_IN).cast("int")).mapInArrow(again, schema)
     got = rows.collect()
     return np.sum([np.frombuffer(bytes(r["v"]), kind).astype(float) for r in got], axis=0) if got else None
 

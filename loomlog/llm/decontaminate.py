@@ -13,13 +13,15 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import arrow_map, summed
+from loomlog.llm.common import Scratch, arrow_map, summed
 from loomlog.llm.textbytes import ALNUM, U, column_bytes, fmix, words
 
 TERMS = 1 << 14
@@ -31,8 +33,8 @@ COSINE = 0.4
 ITEM, PART, ANSWER = 0.8, 0.6, 0.8
 #: The share of an item that a window must have in the item's rarest words; more of them are looked for until that follows from PART.
 SHARED = 0.3
-#: Items that one pass holds; more items take more passes.
-ITEMS = 4096
+#: Items that one pass holds, on the driver as in tasks; more items take more passes.
+ITEMS = 8192
 #: Words that are looked at together; a longer document is taken in parts that overlap by the longest window.
 SPAN = 1 << 19
 
@@ -305,14 +307,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", fold)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double, answer double, cosine double, first_word long, last_word long"
-    spark = docs.sparkSession
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), fold).toLocalIterator()]
-    if not rows:
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), fold)
+    passes = -(-items.count() // ITEMS)
+    if not passes:
         return spark.createDataFrame([], schema)
     table, df = latent(docs)
-    out = None
-    for lo in range(0, len(rows), ITEMS):
-        given = spark.sparkContext.broadcast((prepare(rows[lo : lo + ITEMS], table, df), table.astype(np.float32)))
+    parts = []
+    rows = items.toLocalIterator()
+    for k in range(passes):
+        some = [(r["item_id"], r["text"]) for r in islice(rows, ITEMS)]
+        given = spark.sparkContext.broadcast((prepare(some, table, df), table.astype(np.float32)))
         part = arrow_map(docs, lambda given=given: _search(*given.value), schema, per_task=True)
-        out = part if out is None else out.unionByName(part)
-    return out
+        if passes == 1:
+            return part
+        parts.append(scratch.write(part, f"pass-{k}"))
+        given.destroy()
+    return reduce(DataFrame.unionByName, parts)

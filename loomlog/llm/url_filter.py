@@ -26,10 +26,12 @@ class Rule:
         return self.host + self.path
 
 
-#: The share of rank that follows links, and the number of steps; what is left of the rank after them is under 0.85**20 = 4 %.
-DAMPING, STEPS = 0.85, 20
-#: Steps between writes that cut the lineage.
+#: The share of rank that follows links; steps go on until ranks change by less than TOLERANCE of all rank, within 130 steps whatever the links.
+DAMPING, TOLERANCE = 0.85, 1e-9
+#: Steps between writes, which cut the lineage and show the change.
 CUT_EVERY = 5
+#: Steps of the SQL form.
+STEPS = 64
 
 
 def _lower(c: Column) -> Column:
@@ -63,25 +65,32 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(links: DataFrame, seeds: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """Personalised PageRank: (host, rank) from seeds (host, seed) over links (src, dst, share).
+    """Personalised PageRank: (host, rank) from seeds (host, seed) over links (src, dst, share); all ranks sum to 1.
 
-    Rank at a host without links goes nowhere; that scales all ranks of one walk alike, as if it went back to the seeds.
+    Rank at a host without links goes back to the seeds. That is the walk in which it goes nowhere, but for a factor of all
+    ranks, which the sum takes out at the end, as it does the size of the seeds. A rank under TOLERANCE counts as none.
     """
     links, seeds = scratch.write(links, f"{tag}-links"), scratch.write(seeds, f"{tag}-seeds")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(1, STEPS + 1):
-        sent = links.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = sent.join(seeds, "host", "full_outer").select("host", (DAMPING * F.coalesce("got", F.lit(0.0)) + (1 - DAMPING) * F.coalesce("seed", F.lit(0.0))).alias("rank"))
-        if k % CUT_EVERY == 0:
-            rank = scratch.write(rank, f"{tag}-{k}")
-    return rank
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rank, k = scratch.write(seeds.select("host", F.col("seed").alias("rank")), f"{tag}-0"), 0
+    while True:
+        before, k = rank, k + 1
+        for _ in range(CUT_EVERY):
+            sent = links.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            rank = sent.join(seeds, "host", "full_outer").select("host", (DAMPING * zero("got") + (1 - DAMPING) * zero("seed")).alias("rank"))
+        rank = scratch.write(rank, f"{tag}-{k}")
+        both = rank.join(before.withColumnRenamed("rank", "old"), "host", "full_outer")
+        change, total = both.agg(F.sum(F.abs(zero("rank") - zero("old"))), F.sum("rank")).head()  # one row
+        scratch.drop(f"{tag}-{k - 1}")
+        if not total or change <= TOLERANCE * total:
+            return rank.select("host", (F.col("rank") / F.lit(total or 1.0)).alias("rank"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], ratio: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages (page_id, url, html); other columns are ignored.
 
-    A rule decides where one fits. Elsewhere the host is blocked if its distrust is over ratio times its trust: trust
-    starts from hosts in proportion to the share of their pages that a rule allows and follows links, distrust
+    A rule decides where one fits. Elsewhere the host is blocked if its distrust is over ratio times its trust, each of them a share of
+    1 over all hosts: trust starts from hosts in proportion to the share of their pages that a rule allows and follows links, distrust
     starts from the share of blocked pages and goes against links. A host that neither reaches, and a url
     without a host, is allowed. A null url or one without :// has an empty host and path; null html has no links.
     """
@@ -105,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], ratio: float = 1.0) -> DataFr
     known = trust.join(distrust, "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     known = scratch.write(known, "known")
     out = ruled.drop("html").join(known, "host", "left")
-    by_host = F.when(F.col("distrust") > ratio * F.col("trust") + 1e-12, "block").otherwise("allow")
+    by_host = F.when(F.col("distrust") > ratio * F.col("trust") + TOLERANCE, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
@@ -130,6 +139,7 @@ hosts AS MATERIALIZED (SELECT host, count(*) AS pages, count(*) FILTER (hit LIKE
         for k in range(1, STEPS + 1):
             sql += f""",
 {tag}{k} AS MATERIALIZED (SELECT host, {DAMPING} * coalesce(got, 0) + {1 - DAMPING} * coalesce(s.rank, 0) AS rank FROM (SELECT b AS host, sum(rank * share) AS got FROM {tag}l JOIN {tag}{k - 1} r ON r.host = a GROUP BY b) FULL JOIN {tag}0 s USING (host))"""
-    return sql + f"""
-SELECT page_id, host, path, substr(hit, 7) AS rule, coalesce(substr(hit, 1, 5), CASE WHEN coalesce(d.rank, 0) > {ratio} * coalesce(t.rank, 0) + 1e-12 THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN t{STEPS} t USING (host) LEFT JOIN d{STEPS} d USING (host)"""
+    return sql + f""",
+t AS MATERIALIZED (SELECT host, rank / sum(rank) OVER () AS rank FROM t{STEPS}), d AS MATERIALIZED (SELECT host, rank / sum(rank) OVER () AS rank FROM d{STEPS})
+SELECT page_id, host, path, substr(hit, 7) AS rule, coalesce(substr(hit, 1, 5), CASE WHEN coalesce(d.rank, 0) > {ratio} * coalesce(t.rank, 0) + {TOLERANCE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN t USING (host) LEFT JOIN d USING (host)"""
