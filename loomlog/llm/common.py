@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomlog-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -41,12 +45,19 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder; they outlive lost executors and cut lineage."""
+    """Intermediate tables as Parquet in the shared folder; they outlive lost executors and cut lineage.
+
+    What an operator returns reads its last tables, so they stay until drop_scratch() or the end of a scratch_of().
+    """
+
+    #: Folders that were not dropped yet.
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/loomlog-{uuid.uuid4().hex}"
+        Scratch.made.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
@@ -55,9 +66,27 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Frees a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables of all operators so far, or of those since the since-th folder; their results can't be read any more."""
+    for root in Scratch.made[since:]:
+        _delete(spark, root)
+    del Scratch.made[since:]
+
+
+@contextmanager
+def scratch_of(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables of operators that were called inside, at the end; their results must be written by then."""
+    since = len(Scratch.made)
+    yield
+    drop_scratch(spark, since)
 
 
 #: Bytes of a batch that one call of a Python function gets; a single longer row comes alone.
@@ -192,4 +221,4 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
     return comp
 
 
-__all__ = ["Scratch", "arrow_map", "components", "crc_mod", "shared_dir", "sliced", "summed", "table"]
+__all__ = ["Scratch", "arrow_map", "components", "crc_mod", "drop_scratch", "scratch_of", "shared_dir", "sliced", "summed", "table"]

@@ -12,13 +12,15 @@ item is there in order, or a good part of it and nearly all of its answer, the i
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import Scratch, arrow_map, summed
@@ -182,7 +184,8 @@ def prepare(rows: list[tuple], table: np.ndarray, df: np.ndarray) -> Items:
     return Items(ids, own, answer, {s: (np.array(k), np.array(v, np.float32)) for s, (k, v) in classes.items()}, np.array(taken, np.int64), np.array(slot, np.int64), np.array(needed, np.int64), np.array(order, U), [np.array(held[w]) for w in order])
 
 
-def _search(items: Items, table: np.ndarray):
+def _search(items: Items, table: np.ndarray, rows: bool = False):
+    """Batches (doc_id, text) to what documents hold, or, with rows, batches (row, text) to the rows that hold nothing."""
     zero = _with_zero(table)
     longest = max(items.classes, default=1)
 
@@ -273,7 +276,8 @@ def _search(items: Items, table: np.ndarray):
             if share >= ITEM or answer >= ANSWER:
                 best[d, j] = (share, answer, float(c), int(lo - at[d]), int(hi - at[d]))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def held_by(batch: pa.RecordBatch) -> dict[tuple[int, int], tuple]:
+        """What is found in each document, by its number and the item's."""
         hashes, _, _, at = words(*column_bytes(batch["text"]), ALNUM)
         best: dict[tuple[int, int], tuple] = {}
         if len(hashes) <= SPAN:
@@ -287,13 +291,52 @@ def _search(items: Items, table: np.ndarray):
                         x = (*x[:3], x[3] + lo - int(at[d]), x[4] + lo - int(at[d]))
                         if x[0] > best.get((d, j), (0,))[0]:
                             best[d, j] = x
+        return best
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        best = held_by(batch)
         if not best:
             return None
         keys = sorted(best)
         cols = list(zip(*(best[k] for k in keys), strict=True))
         return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array([d for d, _ in keys], pa.int64())), pa.array([items.ids[j] for _, j in keys], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[:3]), *(pa.array(c, pa.int64()) for c in cols[3:])], ["doc_id", "item_id", "share", "answer", "cosine", "first_word", "last_word"])
 
-    return run
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = np.zeros(batch.num_rows, bool)
+        held[[d for d, _ in held_by(batch)]] = True
+        return batch.select(["row"]).filter(pa.array(~held))
+
+    return clean if rows else run
+
+
+def _folded() -> Column:
+    return F.lower(F.col("text").cast("string")).alias("text")  # of all alphabets
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """What a pass over the documents needs, for each ITEMS items, and whether it is the last; the driver holds one at a time."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _folded())
+    passes = -(-items.count() // ITEMS)
+    if not passes:
+        return
+    table, df = latent(docs.select(_folded()))
+    rows = items.toLocalIterator()
+    for k in range(passes):
+        yield spark.sparkContext.broadcast((prepare([(r["item_id"], r["text"]) for r in islice(rows, ITEMS)], table, df), table.astype(np.float32))), k == passes - 1
+
+
+def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (text, ..), with all columns, that hold no item; rows are told apart by nothing, so that ids may be null or repeat."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _folded())
+    for k, (given, last) in enumerate(_passes(docs, benchmark)):
+        rows = arrow_map(rows, lambda given=given: _search(*given.value, rows=True), f"row {rows.schema['row'].dataType.simpleString()}", per_task=True)
+        if not last:
+            rows = scratch.write(rows, f"pass-{k}").select("row", F.lower(F.col("row.text").cast("string")).alias("text"))
+            given.destroy()
+            scratch.drop(f"pass-{k - 1}")
+    return rows.select("row.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -303,24 +346,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window that holds most of it. Null and empty texts hold nothing, and items without a word are held by nothing. Rows that
     repeat a doc_id are each looked at. Other columns are ignored. With no documents or items there are no rows.
     """
-    fold = F.lower(F.col("text").cast("string")).alias("text")  # of all alphabets
-    docs = docs.select("doc_id", fold)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double, answer double, cosine double, first_word long, last_word long"
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), fold)
-    passes = -(-items.count() // ITEMS)
-    if not passes:
-        return spark.createDataFrame([], schema)
-    table, df = latent(docs)
-    parts = []
-    rows = items.toLocalIterator()
-    for k in range(passes):
-        some = [(r["item_id"], r["text"]) for r in islice(rows, ITEMS)]
-        given = spark.sparkContext.broadcast((prepare(some, table, df), table.astype(np.float32)))
-        part = arrow_map(docs, lambda given=given: _search(*given.value), schema, per_task=True)
-        if passes == 1:
-            return part
-        parts.append(scratch.write(part, f"pass-{k}"))
-        given.destroy()
-    return reduce(DataFrame.unionByName, parts)
+    scratch, parts = Scratch(docs.sparkSession), []
+    for k, (given, last) in enumerate(_passes(docs, benchmark)):
+        part = arrow_map(docs.select("doc_id", _folded()), lambda given=given: _search(*given.value), schema, per_task=True)
+        parts.append(part if last else scratch.write(part, f"pass-{k}"))
+        if not last:
+            given.destroy()
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)

@@ -85,14 +85,18 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stats(batch: pa.RecordBatch) -> pa.RecordBatch:
-    s = statistics(*column_bytes(batch["text"])).astype(np.float32)
-    return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tobytes() for x in s], pa.binary())], ["doc_id", "stats"])
+def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats): float32 of NAMES as bytes."""
-    return arrow_map(docs.select("doc_id", F.col("text").cast("string").alias("text")), _stats, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats binary")
+def document_statistics(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The given columns and stats, float32 of NAMES as bytes, for each row of docs (text, ..). Null counts as empty; rows that repeat stay."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = statistics(*column_bytes(batch["__text"])).astype(np.float32)
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array([x.tobytes() for x in s], pa.binary())], [*columns, "stats"])
+
+    return arrow_map(docs.select(*columns, F.col("text").cast("string").alias("__text")), run, f"{_kinds(docs, columns)}, stats binary")
 
 
 @dataclass(frozen=True)
@@ -171,8 +175,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> QualityModel:
     return QualityModel(mean, scale, weights, middle, np.array([level[block == b][0] for b in range(block[-1] + 1)]))
 
 
-def score(stats: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, score) for each row. A model that learned nothing gives 0.5."""
+def score(stats: DataFrame, model: QualityModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The given columns and score, 0 to 1, for each row of stats, also where a doc_id is null or repeats. A model that learned nothing gives 0.5."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if len(model.weights):
@@ -180,6 +184,6 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
             s = np.clip(np.interp(raw, model.edges, model.values) * 0.999 + 0.001 * np.clip(raw, 0, 1), 0, 1)
         else:
             s = np.full(batch.num_rows, 0.5)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s)], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(s)], [*columns, "score"])
 
-    return arrow_map(stats, run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return arrow_map(stats.select(*columns, "stats"), run, f"{_kinds(stats, columns)}, score double")
