@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder and
 rereads it as the next one's docs. All stages but the last return the columns of documents. Null and empty texts: quality scores
-them like any text, language ID rejects them as they have no letter. Rows that repeat a doc_id stay together: a stage decides by id
-where its operator does.
+them like any text, language ID rejects them as they have no letter. Stages decide by row, so that rows without a doc_id, or that repeat
+one, are judged like all others; to near duplicates, rows that differ are documents of their own, whatever their ids.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import decontaminate, language_id, near_dedup, packing, quality
-from loomlog.llm.common import Scratch, table
+from loomlog.llm.common import Scratch, scratch_of, table
 
 #: Documents with a lower quality score go.
 QUALITY = 0.5
@@ -20,43 +20,51 @@ QUALITY = 0.5
 LANGUAGE = 0.9
 
 
+def _rows(docs: DataFrame, *more) -> DataFrame:
+    """Each row as one column, so that no name of it clashes with a result, its text, and more."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", *more)
+
+
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose quality score, learned from labels, is at least QUALITY; those without an id can't be scored by it and stay."""
-    stats = Scratch(spark).write(quality.document_statistics(docs), "stats")
-    model = quality.fit(stats, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    poor = quality.score(stats, model).where(F.col("score") < QUALITY).select("doc_id").distinct()
-    return docs.join(poor, "doc_id", "left_anti").select(docs.columns)
+    """Keeps documents whose quality score, learned from labels, is at least QUALITY."""
+    stats = Scratch(spark).write(quality.document_statistics(_rows(docs, "doc_id"), ("row", "doc_id")), "stats")
+    model = quality.fit(stats.select("doc_id", "stats"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score(stats, model, ("row",)).where(F.col("score") >= QUALITY).select("row.*")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that are plainly another language than lang says; without a lang, or with one that was not learned, any language will do."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    # each row as one column, so that no name of it clashes with a result
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    named = language_id.predict(rows, model, ("row",))
+    named = language_id.predict(_rows(docs), model, ("row",))
     wrong = (F.col("lang_pred") == language_id.UND) | F.coalesce(F.col("row.lang").isin(list(model.languages)) & (F.col("lang_pred") != F.col("row.lang")) & (F.col("score") >= LANGUAGE), F.lit(False))
     return named.where(~wrong).select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that links of 0.8 or more on five-word shingles join.
+    """Keeps one document of each group that links of 0.8 or more on five-word shingles join: that with the smallest doc_id.
 
-    Of rows that repeat a kept doc_id one stays; rows without a doc_id stay, as nothing names their group.
+    Rows without a doc_id, and all but one of those that repeat one, go by a number from the hash of the whole row, over all ids:
+    each text of an id is a document, and of equal rows one stays.
     """
-    groups = near_dedup.near_duplicates(docs, n_words=5, percent=80)
-    kept = groups.where("kept").select("doc_id").distinct()
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    out = docs.join(kept, "doc_id", "left_semi")
+    name, whole = "__doc", F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    own = F.xxhash64(whole).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    rows = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), own))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
     if not repeated.isEmpty():
-        again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
+        again = rows.join(repeated, "doc_id", "left_semi").withColumn(name, own)
+        first = again.groupBy("doc_id").agg(F.min(name).alias("__first"))
+        again = again.join(first, "doc_id").withColumn(name, F.when(F.col(name) == F.col("__first"), F.col("doc_id")).otherwise(F.col(name))).select(rows.columns)
+        rows = rows.join(repeated, "doc_id", "left_anti").select(rows.columns).unionByName(again)
+    if not repeated.isEmpty() or not docs.where("doc_id is null").isEmpty():
+        rows = Scratch(spark).write(rows.dropDuplicates([name]), "rows")
+    groups = near_dedup.near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), n_words=5, percent=80)
+    kept = groups.where("kept").select(F.col("doc_id").alias(name))
+    return rows.join(kept, name, "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +87,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        if k > 1:
-            scratch.drop(STAGES[k - 2][0])
+        with scratch_of(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs
