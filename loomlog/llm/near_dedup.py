@@ -6,12 +6,14 @@ own, so that short documents fill all of them. Bands of ROWS registers give cand
 registers, corrected for chance collisions of the compressed values, drops unlikely candidates; links are
 confirmed on the full shingle sets.
 
-Links inside one group are not all written out. Documents that share a band and are not too far from each other form a cluster:
-those of a band's bucket are held against its smallest, and then, but for those in one cluster, against each other by their
-registers. In a cluster, each document is first held against the smallest that it shares a band with. What is then in other
-components than the cluster's main one is compared with all of the cluster. Both take place in cells of two blocks of rows of bounded
-number, so that a task's work is bounded and only links that join components leave it. At a similarity of 0.8, 32 bands
-of 4 registers miss a link with probability (1 - 0.8**4)**32 = 5e-8; an estimate of under half of 0.8 is far less likely.
+Links inside one group are not all written out. Documents that share a band and are likely near form a cluster: those of a band's
+bucket are held against its smallest, and then, but for those in one cluster, against each other by their registers. In a cluster, each
+document is first held against the smallest that it shares a band with. What is then in other components than the cluster's main one
+is compared with all of the cluster: first by longer sketches of LONG registers, then, only where those are near enough, by full
+sets. All takes place in cells of two blocks, bounded in rows and in shingles, so that a task's work is bounded and only links that join
+components leave it. At a similarity of 0.8, 32 bands of 4 registers miss a link with probability (1 - 0.8**4)**32 = 5e-8;
+an estimate below its cut, five standard deviations off, is as unlikely. Work grows with the square of a cluster only in sketches, and in texts for those
+of its documents that are in other components and yet within about 0.1 of the threshold.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from loomlog.llm.textbytes import U, column_bytes, fmix, shingles, words
 K, ROWS = 128, 4
 BANDS = K // ROWS
 MANTISSA = 10
-#: A pair goes on to verification if its estimated similarity is this far below the threshold at most: five standard deviations.
-SLACK = 0.18
-BLOCK = 256
-MUL = fmix(np.arange(1, K + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
-ADD = fmix(np.arange(1, K + 1, dtype=U) * U(0x9FB21C651E98DF25))
+#: Registers of the longer sketches.
+LONG = 512
+#: A pair goes on if its estimated similarity is this far below the threshold at most: five standard deviations, of K and of LONG registers.
+SLACK, CLOSE = 0.18, 0.09
+#: Rows and shingles of a block of full sets, and such blocks in a block of sketches.
+BLOCK, SHINGLES, BLOCKS = 256, 1 << 17, 8
+MUL = fmix(np.arange(1, LONG + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
+ADD = fmix(np.arange(1, LONG + 1, dtype=U) * U(0x9FB21C651E98DF25))
 
 
 def compress(least: np.ndarray) -> np.ndarray:
@@ -48,15 +53,15 @@ def compress(least: np.ndarray) -> np.ndarray:
     return (np.minimum(zeros, 63) << MANTISSA | mantissa.astype(np.int64)).astype(np.uint16)
 
 
-def registers(shingle_hashes: np.ndarray) -> np.ndarray:
-    least = np.full(K, np.iinfo(np.uint64).max, U)
-    for at in range(0, len(shingle_hashes), 1024):
-        np.minimum(least, (shingle_hashes[None, at : at + 1024] * MUL[:, None] + ADD[:, None]).min(axis=1), out=least)
+def registers(shingle_hashes: np.ndarray, k: int = K) -> np.ndarray:
+    least = np.full(k, np.iinfo(np.uint64).max, U)
+    for at in range(0, len(shingle_hashes), 512):
+        np.minimum(least, (shingle_hashes[None, at : at + 512] * MUL[:k, None] + ADD[:k, None]).min(axis=1), out=least)
     return compress(least)
 
 
-def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the share of equal registers.
+def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, k: int = K) -> np.ndarray:
+    """Jaccard similarity from the share of equal registers of k.
 
     Two independent minima of n and m hashes fall into the same cell with the chance sum over cells of the product
     of both cell chances; with densities n*exp(-n*x) and m*exp(-m*x) a cell of relative width 2**-MANTISSA around x
@@ -64,7 +69,7 @@ def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """
     n_a, n_b = np.maximum(n_a, 1).astype(float), np.maximum(n_b, 1).astype(float)
     chance = n_a * n_b / (n_a + n_b) ** 2 * 2.0**-MANTISSA / np.log(2)
-    return np.clip((equal / K - chance) / (1 - chance), 0, 1)
+    return np.clip((equal / k - chance) / (1 - chance), 0, 1)
 
 
 def _sketch(n_words: int):
@@ -85,6 +90,14 @@ def _sketch(n_words: int):
     return run
 
 
+def _long(n_words: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = _sets(n_words)(batch)
+        return pa.RecordBatch.from_arrays([batch["rep"], pa.array([len(x) for x in sets], pa.int64()), pa.array([registers(x, LONG).tobytes() for x in sets], pa.binary())], ["rep", "n", "sig"])
+
+    return run
+
+
 def _estimated(batch: pa.RecordBatch) -> pa.RecordBatch:
     a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, K) for c in ("sig_a", "sig_b"))
     est = estimate((a == b).sum(axis=1), batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
@@ -156,73 +169,121 @@ def joining(near: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndar
     return found
 
 
-def alike(sketches: list[tuple[int, np.ndarray]], left: np.ndarray, right: np.ndarray, comp: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """As linked(), for sketches (number of shingles, registers) with an estimate of at least `least`."""
-    n, sig = np.array([x for x, _ in sketches]), np.stack([x for _, x in sketches])
+def _near(n: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of left and right, by shingles and registers, have an estimate of at least `least`."""
     other, near = sig[right], np.empty((len(left), len(right)), bool)
     for k, row in enumerate(left):
-        near[k] = estimate((other == sig[row]).sum(axis=1), n[row], n[right]) >= least
-    return joining(near, left, right, comp)
+        near[k] = estimate((other == sig[row]).sum(axis=1), n[row], n[right], sig.shape[1]) >= least
+    return near
 
 
-def _across(columns: tuple[str, ...], load: Callable[[pa.RecordBatch], list], link: Callable):
-    """Rows (cluster, i, j, home, odd, comp, *columns), sorted by (cluster, i, j): what link finds between rows of home block i and odd rows of block j."""
+def _cells(key: tuple[str, ...], columns: tuple[str, ...], load: Callable[[pa.RecordBatch], list], done: Callable):
+    """Rows sorted by key: done(key, rows) for all rows of each, a row being the given columns' values and what load makes of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def done() -> pa.RecordBatch | None:
-            home, odd = (np.flatnonzero([r[k] for r in rows]) for k in (0, 1))
-            if not len(home) or not len(odd):
-                return None
-            found = link([r[3] for r in rows], home, odd, np.array([r[2] for r in rows]))
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
-
+        last, rows = None, []
         for batch in batches:
             for part in sliced(batch):
-                meta = [part[c].to_pylist() for c in ("cluster", "i", "j", "home", "odd", "comp")]
-                for cluster, i, j, home, odd, comp, what in zip(*meta, load(part.select(columns)), strict=True):
-                    if key != (cluster, i, j):
-                        if rows and (out := done()) is not None:
+                names = zip(*(part[c].to_pylist() for c in key), strict=True)
+                for name, *row in zip(names, *(part[c].to_pylist() for c in columns), load(part), strict=True):
+                    if name != last:
+                        if rows and (out := done(last, rows)) is not None:
                             yield out
-                        key, rows = (cluster, i, j), []
-                    rows.append((home, odd, comp, what))
-        if rows and (out := done()) is not None:
+                        last, rows = name, []
+                    rows.append(row)
+        if rows and (out := done(last, rows)) is not None:
             yield out
 
     return run
 
 
-def _across_texts(n_words: int, percent: int):
+def _sets(n_words: int):
     def load(part: pa.RecordBatch) -> list:
         hashes, _, _, at = words(*column_bytes(part["text"]))
         return [shingles(hashes[at[k] : at[k + 1]], n_words) for k in range(part.num_rows)]
 
-    return _across(("text",), load, lambda sets, home, odd, comp: linked(sets, home, odd, comp, percent))
+    return load
 
 
-def _across_sketches(least: float):
-    def load(part: pa.RecordBatch) -> list:
-        return [(n, np.frombuffer(sig, np.uint16)) for n, sig in zip(part["n"].to_pylist(), part["sig"].to_pylist(), strict=True)]
+def _sketches(part: pa.RecordBatch) -> list:
+    return [(n, np.frombuffer(sig, np.uint16)) for n, sig in zip(part["n"].to_pylist(), part["sig"].to_pylist(), strict=True)]
 
-    return _across(("n", "sig"), load, lambda rows, home, odd, comp: alike(rows, home, odd, comp, least))
 
+def _roles(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.flatnonzero([r[k] for r in rows]) for k in (0, 1))
 
-def celled(named: DataFrame, main: DataFrame, what: DataFrame) -> DataFrame:
-    """Rows (rep, cluster, comp) dealt to cells so that each one outside its cluster's main component meets all of the cluster, with the columns of what (rep, ...)."""
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+
+
+def _across_texts(n_words: int, percent: int):
+    """Rows (cluster, i, j, home, odd, comp, text) to the components that links between rows at home and odd ones join."""
+
+    def done(_, rows: list) -> pa.RecordBatch | None:
+        home, odd = _roles(rows)
+        return _pairs(linked([r[3] for r in rows], home, odd, np.array([r[2] for r in rows]), percent)) if len(home) and len(odd) else None
+
+    return _cells(("cluster", "i", "j"), ("home", "odd", "comp"), _sets(n_words), done)
+
+
+def _across_sketches(least: float):
+    """Rows (cluster, bi, bj, home, odd, comp, n, sig) to the components that estimates between rows at home and odd ones join."""
+
+    def done(_, rows: list) -> pa.RecordBatch | None:
+        home, odd = _roles(rows)
+        if not len(home) or not len(odd):
+            return None
+        n, sig, comp = np.array([r[3][0] for r in rows]), np.stack([r[3][1] for r in rows]), np.array([r[2] for r in rows])
+        return _pairs(joining(_near(n, sig, home, odd, least), home, odd, comp))
+
+    return _cells(("cluster", "bi", "bj"), ("home", "odd", "comp"), _sketches, done)
+
+
+def _close(least: float, percent: int):
+    """Rows (cluster, bi, bj, home, odd, comp, rep, i, j, n, sig) to those (cluster, i, j, rep, comp, home, odd) whose full sets must be compared, in their blocks of full sets."""
+
+    def done(key: tuple, rows: list) -> pa.RecordBatch | None:
+        home, odd = _roles(rows)
+        if not len(home) or not len(odd):
+            return None
+        n, sig, comp = np.array([r[6][0] for r in rows]), np.stack([r[6][1] for r in rows]), np.array([r[2] for r in rows])
+        near = _near(n, sig, home, odd, least) & (comp[home][:, None] != comp[odd][None, :])
+        near &= 100 * np.minimum(n[home][:, None], n[odd][None, :]) >= percent * np.maximum(n[home][:, None], n[odd][None, :])
+        a, b = np.nonzero(near)
+        if not len(a):
+            return None
+        i, j = np.array([r[4] for r in rows])[home[a]], np.array([r[5] for r in rows])[odd[b]]
+        cells = np.concatenate([np.stack([i, j, home[a], np.zeros(len(a), np.int64)], axis=1), np.stack([i, j, odd[b], np.ones(len(a), np.int64)], axis=1)])
+        cells = np.unique(cells, axis=0)
+        row = cells[:, 2]
+        cols = [pa.array(np.full(len(row), key[0])), pa.array(cells[:, 0], pa.int32()), pa.array(cells[:, 1], pa.int32()), pa.array([rows[k][3] for k in row], pa.int64()), pa.array(comp[row]), pa.array(cells[:, 3] == 0), pa.array(cells[:, 3] == 1)]
+        return pa.RecordBatch.from_arrays(cols, ["cluster", "i", "j", "rep", "comp", "home", "odd"])
+
+    return _cells(("cluster", "bi", "bj"), ("home", "odd", "comp", "rep", "i", "j"), _sketches, done)
+
+
+def celled(named: DataFrame, what: DataFrame) -> DataFrame:
+    """Rows (rep, cluster, comp, main, n), a written table, dealt to cells of blocks (bi, bj) so that each one outside its cluster's main component meets all of the cluster, with the columns of what (rep, ...).
+
+    i and j number the row's blocks of full sets, BLOCKS of which make a block here. Blocks are bounded in rows and in shingles n. A
+    join by cluster stands alone before a shuffle on something else, so that adaptive execution can split a large cluster.
+    """
     odd = F.col("comp") != F.col("main")
-    split = named.join(main, "cluster").groupBy("cluster", "main").agg(F.count("*").alias("all"), F.count(F.when(odd, 1)).alias("odds")).where("odds > 0")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    left = named.join(split, "cluster").select("rep", "cluster", "comp", odd.alias("odd"), blocks("all").alias("ni"), blocks("odds").alias("nj"))
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK, n / SHINGLES)).cast("int")
+    split = named.groupBy("cluster").agg(blocks(F.count("*"), F.sum("n")).alias("ni"), blocks(F.count(F.when(odd, 1)), F.coalesce(F.sum(F.when(odd, F.col("n"))), F.lit(0))).alias("nj")).where("nj > 0")
+    left = named.join(split, "cluster")
     place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    left = left.select("rep", "cluster", "comp", odd.alias("odd"), place("ni", 1).alias("i"), place("nj", 2).alias("j"), F.ceil(F.col("ni") / BLOCKS).cast("int").alias("ni"), F.ceil(F.col("nj") / BLOCKS).cast("int").alias("nj"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"), F.lit(not home).alias("away"))
-    cells = F.transform(each("nj"), lambda j: cell(place("ni", 1), j, True))
-    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda i: cell(i, place("nj", 2), False)))).otherwise(cells)
-    placed = left.select("rep", "cluster", "comp", F.explode(cells).alias("at"))
+    cell = lambda bi, bj, home: F.struct(bi.alias("bi"), bj.alias("bj"), F.lit(home).alias("home"), F.lit(not home).alias("away"))
+    own = lambda c: F.floor(F.col(c) / BLOCKS).cast("int")
+    cells = F.transform(each("nj"), lambda bj: cell(own("i"), bj, True))
+    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda bi: cell(bi, own("j"), False)))).otherwise(cells)
+    placed = left.select("rep", "cluster", "comp", "i", "j", F.explode(cells).alias("at"))
     # a row can be at home and odd in the same cell
-    placed = placed.groupBy("rep", "cluster", "comp", "at.i", "at.j").agg(F.max("at.home").alias("home"), F.max("at.away").alias("odd"))
-    return placed.join(what, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").drop("rep")
+    placed = placed.groupBy("rep", "cluster", "comp", "i", "j", "at.bi", "at.bj").agg(F.max("at.home").alias("home"), F.max("at.away").alias("odd"))
+    return placed.join(what, "rep").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
 
 
 def merged(comp: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -257,15 +318,16 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     pairs = bands.join(buckets, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     sig = lambda side: reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
     sized = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
-    pairs = scratch.write(arrow_map(sized, _estimated, "a long, b long, n_a long, n_b long, est double").where(F.col("est") >= threshold / 2), "pairs")
+    pairs = scratch.write(arrow_map(sized, _estimated, "a long, b long, n_a long, n_b long, est double").where(F.col("est") >= threshold - SLACK), "pairs")
     near = components(pairs, scratch, "near")
     # the rest of each bucket, which has met the lead: those in other clusters than most of it against all of it
     members = bands.join(buckets.where("size > 2"), "key").where("rep <> lead").select("rep", F.col("key").alias("cluster"))
-    members = members.join(near.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp"))
+    members = members.join(near.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp"), F.lit(1).alias("n"))
     several = members.groupBy("cluster").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("cluster")
     members = scratch.write(members.join(several, "cluster"), "members")
     main = members.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    met = celled(members, main, reps).select("cluster", "i", "j", "home", "odd", "comp", "n", "sig").mapInArrow(_across_sketches(threshold / 2), "a long, b long")
+    members = scratch.write(members.join(main, "cluster"), "members-main")
+    met = celled(members, reps).select("cluster", "bi", "bj", "home", "odd", "comp", "n", "sig").mapInArrow(_across_sketches(threshold - SLACK), "a long, b long")
     met = scratch.write(met.distinct(), "met")
     if not met.isEmpty():
         near = merged(near, met, scratch, "nearer")
@@ -275,16 +337,25 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     texts = scratch.write(texts.select(F.col("doc_id").alias("rep"), "text"), "texts")
 
     # each document against the smallest that it shares a band with
-    likely = pairs.where((F.col("est") >= threshold - SLACK) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    likely = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     likely = likely.groupBy("b").agg(F.min("a").alias("a"))
     both = likely.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     links = scratch.write(arrow_map(both.select("a", "b", "text_a", "text_b"), _verify(n_words, percent), "a long, b long"), "links")
     comp = components(links.union(tied), scratch, "first")
 
     # then what is left of each cluster: one of its components is its main one; rows of others are odd
-    named = scratch.write(cluster.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp")), "named")
+    named = cluster.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp"))
+    named = scratch.write(named.join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "named")
     main = named.where("rep = cluster").select("cluster", F.col("comp").alias("main"))
-    rest = celled(named, main, texts).select("cluster", "i", "j", "home", "odd", "comp", "text").mapInArrow(_across_texts(n_words, percent), "a long, b long")
+    named = scratch.write(named.join(main, "cluster"), "named-main")
+    apart = named.where("comp <> main").select("cluster").distinct()
+    named = scratch.write(named.join(apart, "cluster", "left_semi"), "apart")
+    whose = named.select("rep")
+    long = scratch.write(arrow_map(texts.join(whose, "rep", "left_semi"), _long(n_words), "rep long, n long, sig binary"), "long")
+    close = celled(named, long).select("cluster", "bi", "bj", "home", "odd", "comp", "rep", "i", "j", "n", "sig").mapInArrow(_close(threshold - CLOSE, percent), "cluster long, i int, j int, rep long, comp long, home boolean, odd boolean")
+    close = scratch.write(close.groupBy("cluster", "i", "j", "rep", "comp").agg(F.max("home").alias("home"), F.max("odd").alias("odd")), "close")
+    rest = close.join(texts, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    rest = rest.select("cluster", "i", "j", "home", "odd", "comp", "text").mapInArrow(_across_texts(n_words, percent), "a long, b long")
     rest = scratch.write(rest.distinct(), "rest")
     if not rest.isEmpty():
         comp = merged(comp, rest, scratch, "second")
