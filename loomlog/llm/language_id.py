@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomlog.llm.common import arrow_map
-from loomlog.llm.textbytes import U, column_bytes
+from loomlog.llm.textbytes import PIECE, U, column_bytes
 
 BITS = 13
 BINS = 1 << BITS
@@ -35,28 +35,35 @@ _letters[128:] = np.arange(128, 256)
 
 
 def presence(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of BINS flags for each document. Case is folded for A-Z and the Latin-1 letters; what is no letter counts as one space."""
+    """A row of BINS flags for each document. Case is folded for A-Z and the Latin-1 letters; what is no letter counts as one space.
+
+    Numbers of 64 bits are made for PIECE bytes at a time; whole texts are held as bytes only.
+    """
     x = _letters[data]
     if len(x):
         latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
         x[latin] += 0x20
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    space = x == 0x20
-    keep = ~space
-    keep[:1] = True
-    keep[1:] |= ~space[:-1] | (doc[1:] != doc[:-1])
-    x, doc = x[keep].astype(U), doc[keep]
+    keep = x != 0x20
+    keep[1:] |= keep[:-1].copy()
+    begins = off[:-1][np.diff(off) > 0]
+    keep[begins] = True
+    size = np.zeros(len(off) - 1, np.int64)
+    size[np.diff(off) > 0] = np.add.reduceat(keep, begins, dtype=np.int64) if len(begins) else 0
+    x, ends = x[keep], np.cumsum(size)
     out = np.zeros((len(off) - 1) * BINS, bool)
-    code = np.zeros(len(x), U)
-    for n in NGRAMS:
-        if len(x) < n:
-            break
-        m = len(x) - n + 1
-        code = (code[:m] << U(8)) | x[n - 1 :]
-        whole = doc[:m] == doc[n - 1 :]
-        at = (((code + U(n << 40)) * U(0x9E3779B97F4A7C15)) >> U(64 - BITS)).astype(np.int64)
-        at += doc[:m] * BINS
-        out[at[whole]] = True
+    for lo in range(0, len(x), PIECE):
+        part = x[lo : lo + PIECE + NGRAMS[-1] - 1].astype(U)
+        doc = np.repeat(np.arange(len(size)), np.diff(np.clip(np.concatenate([[0], ends]) - lo, 0, len(part))))
+        code = np.zeros(len(part), U)
+        for n in NGRAMS:
+            if len(part) < n:
+                break
+            m = len(part) - n + 1
+            code = (code[:m] << U(8)) | part[n - 1 :]
+            whole = doc[:m] == doc[n - 1 :]
+            at = (((code + U(n << 40)) * U(0x9E3779B97F4A7C15)) >> U(64 - BITS)).astype(np.int64)
+            at += doc[:m] * BINS
+            out[at[whole]] = True
     return out.reshape(-1, BINS)
 
 

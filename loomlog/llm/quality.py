@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import Scratch, arrow_map, summed
-from loomlog.llm.textbytes import SPACE, column_bytes, runs, words
+from loomlog.llm.textbytes import PIECE, SPACE, column_bytes, runs, words
 
 FEATURES, SEED, RIDGE = 256, 20_011, 1e-4
 BINS = 2000
@@ -40,12 +40,32 @@ def _shares(values: np.ndarray) -> tuple[float, float]:
     return len(at) / len(v), np.diff(np.append(at, len(v))).max() / len(v)
 
 
+def _inside(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Bytes of each word that have a flag."""
+    out, at = np.zeros(len(starts), np.int64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
+        lo = starts[at]
+        total = np.concatenate([[0], np.cumsum(flags[data[lo : ends[to - 1]]])])
+        out[at:to] = total[ends[at:to] - lo] - total[starts[at:to] - lo]
+        at = to
+    return out
+
+
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of the statistics NAMES for each document; all 0 where a text is empty, but for distinct shares of 1."""
+    """A row of the statistics NAMES for each document; all 0 where a text is empty, but for distinct shares of 1.
+
+    Numbers of 64 bits are made for PIECE bytes at a time, and for words and lines; whole texts are held as bytes only.
+    """
     n = len(off) - 1
     size = np.diff(off)
-    doc = np.repeat(np.arange(n), size)
-    kinds = np.bincount(doc * 9 + _class[data], minlength=9 * n).reshape(n, 9).astype(float)
+    counts = np.zeros((n, 256), np.int64)
+    for lo in range(0, len(data), PIECE):
+        part = data[lo : lo + PIECE]
+        doc = np.repeat(np.arange(n), np.diff(np.clip(off - lo, 0, len(part))))
+        counts += np.bincount(doc * 256 + part, minlength=256 * n).reshape(n, 256)
+    kinds = np.zeros((n, 9))
+    np.add.at(kinds, (slice(None), _class), counts)
     letters = np.maximum(kinds[:, :2].sum(axis=1), 1)
     visible = np.maximum(kinds[:, :8].sum(axis=1), 1)
     hashes, starts, ends, at = words(data, off)
@@ -53,9 +73,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n_words = np.maximum(np.diff(at), 1).astype(float)
     of = np.repeat(np.arange(n), np.diff(at))
     total = lambda x: np.bincount(of, x, n)
-    up = np.concatenate([[0], np.cumsum(_class[data] == 0)])
-    odd = np.concatenate([[0], np.cumsum(~_plain[data])])
-    low = np.concatenate([[0], np.cumsum(_class[data] == 1)])
+    up, odd, low = (_inside(data, starts, ends, flags) for flags in (_class == 0, ~_plain, _class == 1))
     newline = np.ones(len(data), bool)
     newline[data == 10] = False
     ls, le = runs(newline, off)
@@ -72,13 +90,13 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         each[i, 2] = _shares(h[:-1] * h.dtype.type(0x9E3779B97F4A7C15) + h[1:])[0]
         each[i, 3] = 1 - _shares(line_hash[lines_at[i] : lines_at[i + 1]])[0]
     entropy = np.zeros(n)
-    counts = np.bincount(doc * 256 + data, minlength=256 * n).reshape(n, 256) / np.maximum(size, 1)[:, None]
+    counts = counts / np.maximum(size, 1)[:, None]
     np.subtract.at(entropy, np.nonzero(counts)[0], counts[counts > 0] * np.log2(counts[counts > 0]))
     columns = [
         np.log1p(size), np.log1p(np.diff(at)), total(length) / n_words, kinds[:, 0] / letters, kinds[:, 1] / letters, kinds[:, 2] / visible, kinds[:, 4] / visible, kinds[:, 7] / visible,
         kinds[:, 5] / visible, kinds[:, 6] / visible, kinds[:, 3] / visible, np.log1p(n_words / lines), np.log1p(lines), each[:, 0], each[:, 1], each[:, 2], each[:, 3],
-        total((up[ends] - up[starts] >= 2) & (low[ends] == low[starts])) / n_words, total(_class[data[starts]] == 0) / n_words if len(starts) else np.zeros(n),
-        total(odd[ends] > odd[starts]) / n_words, entropy, total(length > 20) / n_words,
+        total((up >= 2) & (low == 0)) / n_words, total(_class[data[starts]] == 0) / n_words if len(starts) else np.zeros(n),
+        total(odd > 0) / n_words, entropy, total(length > 20) / n_words,
     ]
     for k, c in enumerate(columns):
         out[:, k] = c

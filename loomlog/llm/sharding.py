@@ -71,7 +71,24 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, we
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, files_per_shard: int = 1, **options) -> None:
-    """Writes df as Parquet with a folder for each shard; each shard's rows are spread over files_per_shard tasks by the key's hash."""
+    """Writes df as Parquet with a folder for each shard, in files_per_shard files at most.
+
+    A shard's rows are spread over its files by the hash of the whole row, so that a hot key isn't one task's; rows that repeat
+    whole stay, and null keys go to a shard like any other. An empty table gives no folders. Without shards there is nowhere to write: ValueError.
+    """
+    if not shards:
+        raise ValueError("no shards")
     placed = place(df, key, shards, **options)
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard))
-    placed.repartition(len(shards) * files_per_shard, "shard", part).write.partitionBy("shard").mode("overwrite").parquet(path)
+    number = F.array_position(F.array(*(F.lit(s) for s in sorted(shards))), F.col("shard")).cast("int") - 1
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard"))))
+    part = number * files_per_shard + F.pmod(F.xxhash64(whole), F.lit(files_per_shard)).cast("int")
+    placed.repartitionById(len(shards) * files_per_shard, part).write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
+def oracle(shards: Sequence[str], slots: int = SLOTS) -> str:
+    """DuckDB SQL for doc_id, slot and shard of place() over the view documents; the lookup table is given as text, and tests fill it in another way."""
+    names, table = sorted(shards), fill(shards, slots)
+    return f"""WITH held AS (SELECT unnest(range({slots})) AS slot, unnest(string_split('{",".join(map(str, table))}', ',')) AS i),
+named AS (SELECT unnest(range({len(names)})) AS i, unnest({names}) AS shard),
+d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) % {slots} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, d.slot, shard FROM d JOIN held ON held.slot = d.slot JOIN named ON named.i = CAST(held.i AS BIGINT)"""
