@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import Scratch, components
+from loomlog.llm.near_dedup import REACH
 
 #: Vectors of a cell that are aimed at, and the bound on a label's centres; with more vectors cells grow instead.
 CELL, CENTRES = 1024, 16_384
@@ -381,3 +382,15 @@ def _linked(reps: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     hosts = guests.join(cells.select("label", "dim", F.col("rep").alias("cell"), F.col("first").alias("to")), ["label", "dim", "cell"])
     members = homes.select("label", "dim", F.col("home").alias("cell"), "rep").join(hosts, ["label", "dim", "cell"]).select("rep", "links", "to")
     return inside.unionByName(near).unionByName(members)
+
+
+def oracle(cosine: float = 0.98) -> str:
+    """DuckDB SQL for near_vectors() over the view embeddings, whose ids don't repeat: all pairs of a label."""
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT vec_id, label, v, list_max(list_transform(v, lambda x: abs(x))) AS top FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+big AS (SELECT vec_id, label, list_transform(v, lambda x: x / top) AS v FROM ok WHERE top > 0),
+u AS MATERIALIZED (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM big),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) >= {cosine}),
+pairs AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), {REACH},
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN least_of l ON l.a = vec_id"""

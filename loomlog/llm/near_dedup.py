@@ -363,3 +363,20 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     # only classes of several documents or links differ from the document itself
     out = sketches.join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+#: SQL that ends an oracle: components of the view pairs (a, b), which holds both directions, as reach (a, least).
+REACH = """reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), least_of AS (SELECT a, min(b) AS least FROM reach GROUP BY a)"""
+
+
+def oracle(percent: int = 80) -> str:
+    """DuckDB SQL for near_duplicates() on two-word shingles over the view documents, whose ids don't repeat: all pairs that share a shingle."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+sets AS MATERIALIZED (SELECT hash(s) AS h, s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s) WHERE len(s) > 0 GROUP BY s),
+x AS MATERIALIZED (SELECT rep, n, unnest(s) AS x FROM sets),
+common AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS shared FROM x a JOIN x b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * shared >= {percent} * (n - shared)),
+pairs AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), {REACH},
+own AS (SELECT s.doc_id, len(s.s) AS n, sets.rep FROM s LEFT JOIN sets ON sets.s = list_sort(s.s))
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM (SELECT doc_id, n, least(coalesce(rep, doc_id), coalesce(least, rep, doc_id)) AS c FROM own LEFT JOIN least_of ON a = rep)"""

@@ -73,4 +73,4 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_sharding, op4_minhash_near_dedup, op5_decontamination, op6_quality_classifier, op7_token_output, op8_embedding_near_dedup, op9_packing, op10_licence_scan)}
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES), "op3_sharding": sharding.oracle(SHARDS)}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(URL_RULES), "op3_sharding": sharding.oracle(SHARDS), "op4_minhash_near_dedup": near_dedup.oracle(), "op8_embedding_near_dedup": embed_dedup.oracle()}

@@ -841,12 +841,12 @@ def test_pipeline_runs_whole(spark):
     assert len(kept) > 100
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op3_sharding"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name]).fetchall()
     cols = [x[0] for x in con.description]
