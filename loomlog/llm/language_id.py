@@ -24,7 +24,7 @@ BINS = 1 << BITS
 NGRAMS = (1, 2, 3, 4)
 LANDMARKS = 256
 #: Bounds of the training sample: rows of a language, rows in all, and languages (the most frequent).
-PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 20_000, 256
+PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 20_000, 1024
 RIDGE, SHARPNESS = 1e-2, 6.0
 UND = "und"
 

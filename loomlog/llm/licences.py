@@ -3,8 +3,8 @@
 Passages of a text are held against templates as TF-IDF vectors: each line, the whole text, and runs of as many words as a template has,
 laid so that one of the template's weightiest words falls on its place in it; so a header counts wherever its lines break, and a
 licence file by its whole text or by how it begins. The inverse frequencies of the templates' words count all lines of all
-texts; other words weigh as if no other line had them. A passage without any of a template's weightiest words can't reach THRESHOLD, so only
-passages with one are looked at, and the products are sparse. The best cosine of at least THRESHOLD names a file's licence; a notice also needs
+texts; other words weigh as if no other line had them. A passage without any of a template's weightiest words, or with too
+many words besides the template's, can't reach THRESHOLD and isn't looked at, and the products are sparse. The best cosine of at least THRESHOLD names a file's licence; a notice also needs
 those words of its licence's name that it holds. It is a licence file if a text of a licence file is found in it, if matching
 passages make up half of its words, or if it is called LICENSE, COPYING or the like; then its directory passes the licence on to files below
 that have none, the nearest directory first, by joins on paths.
@@ -38,6 +38,11 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
     return [hashes[at[k] : at[k + 1]] for k in range(len(texts))]
 
 
+def _damped(counts: np.ndarray) -> np.ndarray:
+    """Counts of words by the logarithm, so that common words of long texts don't outweigh the others."""
+    return np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0)
+
+
 class _Matcher:
     """Templates as sparse vectors over the hashes of their words."""
 
@@ -57,19 +62,19 @@ class _Matcher:
 
     def weigh(self, df: np.ndarray, lines: float, threshold: float) -> None:
         self.idf, self.rest, self.threshold = np.log((1 + lines) / (1 + df)) + 1, float(np.log(1 + lines) + 1), threshold
-        self.vectors = self.counts * self.idf
+        self.vectors = _damped(self.counts) * self.idf
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        # the heaviest words of each template, until the others' share can't reach the threshold
-        self.anchors: dict[int, list[tuple[int, int]]] = {}
+        # the heaviest words of each template, until the others' share can't reach the threshold, with their places in it
+        self.anchors: list[dict[int, list[int]]] = []
         for t, v in enumerate(self.vectors):
             order = np.argsort(-v, kind="stable")
-            share = np.cumsum(v[order] ** 2)
-            kept = set(order[: int(np.searchsorted(share, 1 - threshold**2, "right")) + 1].tolist())
+            kept = set(order[: int(np.searchsorted(np.cumsum(v[order] ** 2), 1 - threshold**2, "right")) + 1].tolist())
+            self.anchors.append({})
             for q, w in enumerate(self.of[t].tolist()):
                 if w in kept:
-                    self.anchors.setdefault(w, []).append((q, len(self.of[t])))
+                    self.anchors[t].setdefault(w, []).append(q)
         self.anchor = np.zeros(len(self.words) + 1, bool)
-        self.anchor[list(self.anchors)] = True
+        self.anchor[[w for own in self.anchors for w in own]] = True
 
     def hits(self, batch: pa.RecordBatch):
         """Word offsets of documents, of lines, the places of templates' words, and which of them each is."""
@@ -90,20 +95,31 @@ class _Matcher:
         return np.append(np.bincount(seen % (len(self.words) + 1), minlength=len(self.words)), len(lines))
 
     def passages(self, at: np.ndarray, lines: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """(document, first word, end) of all passages with an anchor, in order and each once."""
-        anchored = self.anchor[word]
-        place, word = place[anchored], word[anchored]
-        doc = np.searchsorted(at, place, "right") - 1
-        ends = np.append(lines, at[-1])
-        line = np.searchsorted(lines, place, "right") - 1
-        found = [np.stack([doc, at[doc], at[doc + 1]], axis=1), np.stack([doc, lines[line], ends[line + 1]], axis=1)]
-        for w in np.unique(word).tolist():
-            own = np.flatnonzero(word == w)
-            for q, n in self.anchors[w]:
-                lo, hi = at[doc[own]], at[doc[own] + 1]
-                start = np.clip(place[own] - q, lo, hi)
-                found.append(np.stack([doc[own], start, np.minimum(place[own] - q + n, hi)], axis=1))
-        found = np.unique(np.concatenate(found), axis=0)
+        """(document, first word, end) of all passages that can reach the threshold, in order and each once."""
+        anchored = np.flatnonzero(self.anchor[word])
+        doc = np.searchsorted(at, place[anchored], "right") - 1
+        line, ends = np.searchsorted(lines, place[anchored], "right") - 1, np.append(lines, at[-1])
+        wide = np.unique(np.concatenate([np.stack([doc, at[doc], at[doc + 1]], axis=1), np.stack([doc, lines[line], ends[line + 1]], axis=1)]), axis=0)
+        far, found = np.zeros(len(wide), bool), []
+        by_word = np.argsort(word[anchored], kind="stable")
+        groups = np.searchsorted(word[anchored][by_word], np.arange(len(self.words) + 1))
+        for t, own in enumerate(self.anchors):
+            # a passage's product with the template is the sum over its words at most, and its length that of its other words at least
+            before = np.concatenate([[0.0], np.cumsum((self.idf * self.vectors[t])[word])])
+
+            def can(start: np.ndarray, stop: np.ndarray, before=before) -> np.ndarray:
+                a, b = np.searchsorted(place, start), np.searchsorted(place, stop)
+                return before[b] - before[a] >= self.threshold * self.rest * np.sqrt(np.maximum(stop - start - (b - a), 0)) - 1e-9
+
+            far |= can(wide[:, 1], wide[:, 2])
+            for w, places in own.items():
+                k = by_word[groups[w] : groups[w + 1]]
+                d, p = doc[k], place[anchored[k]]
+                for q in places:
+                    start, stop = np.clip(p - q, at[d], at[d + 1]), np.minimum(p - q + len(self.of[t]), at[d + 1])
+                    near = can(start, stop)
+                    found.append(np.stack([d[near], start[near], stop[near]], axis=1))
+        found = np.unique(np.concatenate([wide[far], *found]), axis=0)
         return found[found[:, 2] > found[:, 1]]
 
     def cosines(self, spans: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -113,7 +129,7 @@ class _Matcher:
         x = np.zeros((len(spans), len(self.words)))
         np.add.at(x, (np.repeat(np.arange(len(spans)), n), word[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]), 1)
         other = spans[:, 2] - spans[:, 1] - n
-        y = x * self.idf
+        y = _damped(x) * self.idf
         # words that no template has count as different ones
         out = y @ self.vectors.T / np.maximum(np.sqrt((y * y).sum(axis=1) + other * self.rest**2), 1e-12)[:, None]
         for t, needed in enumerate(self.needed):
@@ -123,7 +139,7 @@ class _Matcher:
 
 
 def detect(docs: DataFrame, notices: Mapping[str, tuple[str, ...]] = NOTICES, texts: Mapping[str, tuple[str, ...]] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, path, own_licence, score, licence_file) for each row of docs (doc_id, text, path); score is the best cosine of a passage with an anchor, else 0."""
+    """(doc_id, path, own_licence, score, licence_file) for each row of docs (doc_id, text, path); score is the best cosine of a passage that can reach the threshold, else 0."""
     matcher = _Matcher(notices, texts)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("path").cast("string").alias("path"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, path string"

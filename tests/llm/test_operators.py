@@ -747,7 +747,7 @@ def test_licence_scores_are_those_of_dense_vectors(spark):
     rest = log(1 + len(lines)) + 1
 
     def cosine(passage, template):
-        x, v = ({w: ws.count(w) * idf[w] for w in set(ws) & known} for ws in (passage, template))
+        x, v = ({w: (1 + log(ws.count(w))) * idf[w] for w in set(ws) & known} for ws in (passage, template))
         other = sum(w not in known for w in passage)
         norm = sqrt(sum(c * c for c in x.values()) + other * rest**2) * sqrt(sum(c * c for c in v.values()))
         return sum(x[w] * v.get(w, 0) for w in x) / max(norm, 1e-12)
