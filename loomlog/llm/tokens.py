@@ -1,10 +1,10 @@
 """Token ids of whole texts, by the tokenizers library, with a bounded cache of pieces.
 
-The byte-level pre-tokenizer always starts a new word at a space between characters that aren't white space, where a letter or
-digit is followed by a sign other than an apostrophe, and on either side of a single other white space. A text
+The byte-level pre-tokenizer always starts a new word where white space begins, at the last of several white spaces before something
+else, after one that isn't a space, and where a letter or digit is followed by a sign other than an apostrophe. A text
 cut there can be encoded piece by piece. Pieces are looked up all at once in a table of arrays, by their bytes and not by a hash alone; those
-that it lacks go to the library. Stretches with neighbouring white space, or with characters that aren't ASCII or
-Latin-1 letters, are cut only at spaces between ASCII characters.
+that it lacks go to the library. Stretches with characters that aren't ASCII or Latin-1 letters are cut only at spaces between ASCII
+characters.
 """
 
 from __future__ import annotations
@@ -40,11 +40,14 @@ def cuts(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kind = _kind[data]
     white = (kind == BLANK) | (kind == WHITE)
     odd = kind == RARE
-    odd[1:] |= white[1:] & white[:-1]
     # multiplication and division signs are no letters
     odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
-    cut = kind == BLANK
-    cut[1:] |= ((kind[1:] == SIGN) & (kind[:-1] == WORD)) | (kind[1:] == WHITE) | ((kind[:-1] == WHITE) & (kind[1:] != BLANK))
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = white[:-1], white[1:]
+    before[begins] = False
+    after[begins[1:] - 1] = after[-1:] = True  # at its end, a text's white space stays in one piece
+    cut = white & ~(before & after)
+    cut[1:] |= ((kind[1:] == SIGN) & (kind[:-1] == WORD)) | ((kind[:-1] == WHITE) & ~white[1:])
     strange = odd.any()
     if strange:
         plain = _plain[data]
