@@ -35,8 +35,8 @@ MANTISSA = 10
 LONG = 512
 #: A pair goes on if its estimated similarity is this far below the threshold at most: five standard deviations, of K and of LONG registers.
 SLACK, CLOSE = 0.18, 0.09
-#: Rows and shingles of a block of full sets, and such blocks in a block of sketches.
-BLOCK, SHINGLES, BLOCKS = 256, 1 << 17, 8
+#: Rows and shingles of a block of full sets; such blocks in a block of sketches at most, and blocks of sketches that a cluster has before they grow to that.
+BLOCK, SHINGLES, BLOCKS, SPREAD = 256, 1 << 17, 8, 8
 MUL = fmix(np.arange(1, LONG + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 ADD = fmix(np.arange(1, LONG + 1, dtype=U) * U(0x9FB21C651E98DF25))
 
@@ -266,7 +266,7 @@ def _close(least: float, percent: int):
 def celled(named: DataFrame, what: DataFrame) -> DataFrame:
     """Rows (rep, cluster, comp, main, n), a written table, dealt to cells of blocks (bi, bj) so that each one outside its cluster's main component meets all of the cluster, with the columns of what (rep, ...).
 
-    i and j number the row's blocks of full sets, BLOCKS of which make a block here. Blocks are bounded in rows and in shingles n. A
+    i and j number the row's blocks of full sets, up to BLOCKS of which make a block here. Blocks are bounded in rows and in shingles n. A
     join by cluster stands alone before a shuffle on something else, so that adaptive execution can split a large cluster.
     """
     odd = F.col("comp") != F.col("main")
@@ -274,12 +274,13 @@ def celled(named: DataFrame, what: DataFrame) -> DataFrame:
     split = named.groupBy("cluster").agg(blocks(F.count("*"), F.sum("n")).alias("ni"), blocks(F.count(F.when(odd, 1)), F.coalesce(F.sum(F.when(odd, F.col("n"))), F.lit(0))).alias("nj")).where("nj > 0")
     left = named.join(split, "cluster")
     place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    left = left.select("rep", "cluster", "comp", odd.alias("odd"), place("ni", 1).alias("i"), place("nj", 2).alias("j"), F.ceil(F.col("ni") / BLOCKS).cast("int").alias("ni"), F.ceil(F.col("nj") / BLOCKS).cast("int").alias("nj"))
+    left = left.select("rep", "cluster", "comp", odd.alias("odd"), place("ni", 1).alias("i"), place("nj", 2).alias("j"), "ni", "nj")
+    size = lambda n: F.least(F.lit(BLOCKS), F.ceil(F.col(n) / SPREAD))
+    left = left.select("rep", "cluster", "comp", "odd", "i", "j", *(F.floor(F.col(c) / size(n)).cast("int").alias(f"b{c}") for c, n in (("i", "ni"), ("j", "nj"))), *(F.ceil(F.col(n) / size(n)).cast("int").alias(n) for n in ("ni", "nj")))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda bi, bj, home: F.struct(bi.alias("bi"), bj.alias("bj"), F.lit(home).alias("home"), F.lit(not home).alias("away"))
-    own = lambda c: F.floor(F.col(c) / BLOCKS).cast("int")
-    cells = F.transform(each("nj"), lambda bj: cell(own("i"), bj, True))
-    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda bi: cell(bi, own("j"), False)))).otherwise(cells)
+    cells = F.transform(each("nj"), lambda bj: cell(F.col("bi"), bj, True))
+    cells = F.when(F.col("odd"), F.concat(cells, F.transform(each("ni"), lambda bi: cell(bi, F.col("bj"), False)))).otherwise(cells)
     placed = left.select("rep", "cluster", "comp", "i", "j", F.explode(cells).alias("at"))
     # a row can be at home and odd in the same cell
     placed = placed.groupBy("rep", "cluster", "comp", "i", "j", "at.bi", "at.bj").agg(F.max("at.home").alias("home"), F.max("at.away").alias("odd"))
@@ -315,13 +316,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = reps.select("rep", F.explode(keys).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    pairs = bands.join(buckets, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    followers = scratch.write(bands.join(buckets, "key").where("rep <> lead"), "followers")
+    pairs = followers.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     sig = lambda side: reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
     sized = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
     pairs = scratch.write(arrow_map(sized, _estimated, "a long, b long, n_a long, n_b long, est double").where(F.col("est") >= threshold - SLACK), "pairs")
     near = components(pairs, scratch, "near")
     # the rest of each bucket, which has met the lead: those in other clusters than most of it against all of it
-    members = bands.join(buckets.where("size > 2"), "key").where("rep <> lead").select("rep", F.col("key").alias("cluster"))
+    members = followers.where("size > 2").select("rep", F.col("key").alias("cluster"))
     members = members.join(near.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp"), F.lit(1).alias("n"))
     several = members.groupBy("cluster").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("cluster")
     members = scratch.write(members.join(several, "cluster"), "members")
