@@ -97,6 +97,8 @@ class _Matcher:
     def passages(self, at: np.ndarray, lines: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """(document, first word, end) of all passages that can reach the threshold, in order and each once."""
         anchored = np.flatnonzero(self.anchor[word])
+        if not len(anchored):
+            return np.zeros((0, 3), np.int64)
         doc = np.searchsorted(at, place[anchored], "right") - 1
         line, ends = np.searchsorted(lines, place[anchored], "right") - 1, np.append(lines, at[-1])
         wide = np.unique(np.concatenate([np.stack([doc, at[doc], at[doc + 1]], axis=1), np.stack([doc, lines[line], ends[line + 1]], axis=1)]), axis=0)
