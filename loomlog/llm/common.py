@@ -196,27 +196,28 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
 
     edges (a, b): any pairs; loops and repeats are allowed. Returns (node, comp) with comp the smallest node
     of its component, one row per node that has an edge to another node. Each round joins every node to its
-    smallest neighbour, halves the paths and contracts, so that edges shrink geometrically; sums are partial
+    smallest neighbour, follows the paths three times and contracts, so that edges shrink geometrically; sums are partial
     before each shuffle and a hub's rows are on the side of a join that adaptive execution can split.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = scratch.write(edges, f"{tag}-e0")
     first = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    comp = scratch.write(first.select("node", F.col("node").alias("comp")), f"{tag}-c0")
+    comp = first.select("node", F.col("node").alias("comp"))
     k = 0
     while not edges.isEmpty():
         k += 1
         # the smaller end is itself a candidate, so parents never point upwards
         parent = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).groupBy("node").agg(F.min("to").alias("to"))
         parent = scratch.write(parent, f"{tag}-p{k}")
-        for half in range(2):
-            up = parent.select(F.col("node").alias("to"), F.col("to").alias("up"))
-            parent = scratch.write(parent.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")), f"{tag}-p{k}-{half}")
+        up, far = parent.select(F.col("node").alias("to"), F.col("to").alias("up")), parent
+        for _ in range(3):
+            far = far.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to"))
+        parent = scratch.write(far, f"{tag}-far{k}")
         comp = scratch.write(comp.join(parent.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{tag}-c{k}")
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("to").alias("ta")), parent.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(pa_, "a", "left").join(pb, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x <> y")
         edges = scratch.write(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{tag}-e{k}")
-        for old in (f"{tag}-e{k - 1}", f"{tag}-c{k - 1}", f"{tag}-p{k}", f"{tag}-p{k}-0", f"{tag}-p{k}-1"):
+        for old in (f"{tag}-e{k - 1}", f"{tag}-c{k - 1}", f"{tag}-p{k}", f"{tag}-far{k}"):
             scratch.drop(old)
     return comp
 
